@@ -45,9 +45,9 @@ def owners(ring: DataFrame) -> DataFrame:
     spark = ring.sparkSession
     heads = ring.groupBy("cell").agg(F.max("node").alias("node"))
     cells = spark.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(heads, "cell", "left")
-    ahead = Window.orderBy("cell").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
     first = ring.agg(F.min("cell").alias("cell")).join(heads, "cell").select(F.col("node").alias("first"))
-    return cells.select("cell", F.first("node", ignorenulls=True).over(ahead).alias("node")).crossJoin(F.broadcast(first)).select("cell", F.coalesce("node", "first").alias("node"))
+    return cells.select("cell", F.last("node", ignorenulls=True).over(ahead).alias("node")).crossJoin(F.broadcast(first)).select("cell", F.coalesce("node", "first").alias("node"))
 
 
 def flow(ring: DataFrame, arrivals: DataFrame, shards: int) -> DataFrame:
