@@ -11,6 +11,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _codec():
+    import public_tokenizers
+
+    from tidemark.llm import bpe
+
+    return bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As large a sample of `documents` as the share of rows of quality 1 among the labelled."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import importance
+
+    labels = _table(spark, sf_dir, "labels")
+    share = labels.agg(F.avg(F.col("quality").cast("double")).alias("x")).first().x
+    return importance.resample(_table(spark, sf_dir, "documents"), labels.filter("quality = 1"), 1.0 if share is None else share)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import chat
+
+    codec = _codec()
+    return chat.read_back(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations")), codec), codec)
+
+
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import ring
 
@@ -18,15 +51,15 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from tidemark.llm import bpe
 
-    codec = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), codec)
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), _codec())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_importance_resampling": op1_importance_resampling,
+    "op3_toxicity": op3_toxicity,
+    "op4_chat_format": op4_chat_format,
     "op6_bounded_ring": op6_bounded_ring,
     "op10_byte_bpe": op10_byte_bpe,
 }
