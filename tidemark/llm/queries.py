@@ -44,12 +44,24 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations")), codec), codec)
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import decontam
+
+    return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import ring
 
     return ring.shard(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import substrings
+
+    return substrings.digests(_table(spark, sf_dir, "documents"), length=35)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import bpe
 
@@ -60,7 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
+    "op5_spaced_seeds": op5_spaced_seeds,
     "op6_bounded_ring": op6_bounded_ring,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_byte_bpe": op10_byte_bpe,
 }
 

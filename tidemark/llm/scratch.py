@@ -32,21 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by `written`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    root = shared_dir(spark)
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        if path.getParent().toString().split(":")[-1].lstrip("/").startswith(root.split(":")[-1].lstrip("/")):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
-
-
 def input_bytes(df: DataFrame) -> int:
-    """Bytes of the scans below ``df`` by the optimizer's statistics, for sizing partitions."""
-    stats = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(stats.apply(i).stats().sizeInBytes())) for i in range(stats.size()))
+    """Bytes of the scans below ``df`` by the optimizer's statistics, for sizing partitions.
+
+    Leaves without statistics (they report the largest long) count as nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 200_000) -> int:

@@ -65,7 +65,7 @@ class Voters:
         return code // m, code % m
 
 
-def mine(train: DataFrame, most_voters: int, least_share: float = 0.8) -> np.ndarray:
+def mine(train: DataFrame, most_voters: int, least_share: float = 0.9) -> np.ndarray:
     """Hashes of features that occur in enough training rows and nearly only in toxic ones."""
     n_toxic = train.filter("toxic = 1").count()
     seeds = pa.array(SEED_WORDS)
@@ -125,16 +125,20 @@ def label_model(fired: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.nda
     return p, share
 
 
-def classifier(fired: np.ndarray, posterior: np.ndarray, rounds: int = 400, penalty: float = 1e-3) -> np.ndarray:
-    """Weights (bias last) of a logistic regression on posterior labels."""
-    x = np.hstack([fired.astype(np.float32), np.ones((len(fired), 1), np.float32)])
+def classifier(fired: np.ndarray, posterior: np.ndarray, rounds: int = 800, penalty: float = 1e-4) -> np.ndarray:
+    """Weights (bias last) of a logistic regression on posterior labels; equal rows are merged."""
+    _, where, back, n = np.unique(np.packbits(fired, axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    target = np.bincount(back.ravel(), weights=posterior) / n
+    x = np.hstack([fired[where].astype(np.float32), np.ones((len(where), 1), np.float32)])
+    toxic = target > 0.5
+    weight = n * np.where(toxic, n.sum() / max(2 * n[toxic].sum(), 1), 1.0)
+    weight = weight / weight.sum()
     w = np.zeros(x.shape[1])
     w[-1] = -2.0
     moment, square = np.zeros_like(w), np.zeros_like(w)
-    balance = np.where(posterior > 0.5, len(posterior) / max(2 * (posterior > 0.5).sum(), 1), 1.0)
     for t in range(1, rounds + 1):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((q - posterior) * balance) / len(x) + penalty * np.append(w[:-1], 0)
+        g = x.T @ ((q - target) * weight) + penalty * np.append(w[:-1], 0)
         moment, square = 0.9 * moment + 0.1 * g, 0.99 * square + 0.01 * g * g
         w -= 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
     return w
