@@ -31,12 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import exchange, textops
+from tidemark.llm import exchange, idfilter, textops
 from tidemark.llm.scratch import parts_for, written
 
 U = textops.U
-#: Bits of the filter over candidate texts, in groups; fixed, so what is broadcast doesn't grow.
-FILTER_GROUPS, GROUP_BITS = 1 << 12, 1 << 10
 _CHECK_SALT = U(0xA24BAED4963EE407)
 
 
@@ -138,25 +136,6 @@ def _candidates(texts: DataFrame, length: int, parts: int, blocks: int) -> DataF
     return exchange.exchange(blobs, blocks, last, collect, "tid long, pos binary")
 
 
-def _flagged(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with ``cand``: surely false where the text has no candidate."""
-    at = F.pmod(F.xxhash64(F.lit("cand"), "tid"), F.lit(FILTER_GROUPS * GROUP_BITS))
-    rows = ids.select(F.floor(at / GROUP_BITS).cast("int").alias("g"), F.pmod(at, F.lit(GROUP_BITS)).cast("int").alias("p")).distinct()
-    bits = np.zeros(FILTER_GROUPS * GROUP_BITS, bool)
-    for r in rows.groupBy("g").agg(F.collect_list("p").alias("ps")).collect():  # the filter's bits, no ids
-        bits[r.g * GROUP_BITS + np.array(r.ps)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def hit(at):
-        import pandas as pd
-
-        i = at.to_numpy(np.int64)
-        return pd.Series((shared.value[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1)
-
-    return docs.withColumn("cand", hit(at))
-
-
 def _blocks(texts: DataFrame, cands: DataFrame, blocks: int) -> DataFrame:
     """Candidate texts in rows of about two megabytes: src, and arrays of tid, mult, text, pos."""
 
@@ -303,7 +282,7 @@ def _search(docs: DataFrame, length: int, bytes_each: int) -> tuple[DataFrame, D
     ided = docs.withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
     texts = ided.select("tid", "text").filter("text is not null")
     cands = written(_candidates(texts, length, parts, blocks), "repeat-anchors")
-    flagged = _flagged(ided, cands)
+    flagged = idfilter.flagged(ided, cands)
     table = written(_blocks(flagged.filter("cand and text is not null").select("tid", "text"), cands, blocks), "repeat-texts")
     masks = written(_find(table, length, parts), "repeat-windows")
     return flagged, written(_cut(table, masks, length, parts), "repeat-cuts")
