@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Entries that a mapper holds before it sends them.
-HOLD = 1 << 20
+HOLD = 1 << 19
 BLOB = "pid int, data binary"
 
 

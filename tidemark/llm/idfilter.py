@@ -1,8 +1,7 @@
-"""A fixed-size bitmap over hashed ids, to drop most rows before a shuffle by id."""
+"""A fixed-size filter over hashed ids, to drop most rows before a shuffle by id."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,17 +15,7 @@ def flagged(docs: DataFrame, ids: DataFrame, col: str = "tid") -> DataFrame:
     It may be true for some others, so a join must follow; a full filter only costs time.
     """
     at = F.pmod(F.xxhash64(F.lit("cand"), F.col(col)), F.lit(GROUPS * GROUP_BITS))
-    rows = ids.select(F.floor(at / GROUP_BITS).cast("int").alias("g"), F.pmod(at, F.lit(GROUP_BITS)).cast("int").alias("p")).distinct()
-    bits = np.zeros(GROUPS * GROUP_BITS, bool)
-    for r in rows.groupBy("g").agg(F.collect_list("p").alias("ps")).collect():  # the filter's bits, no ids
-        bits[r.g * GROUP_BITS + np.array(r.ps)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    @F.pandas_udf("boolean")
-    def hit(at):
-        import pandas as pd
-
-        i = at.to_numpy(np.int64)
-        return pd.Series((shared.value[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 == 1)
-
-    return docs.withColumn("cand", hit(at))
+    group, bit = F.floor(at / GROUP_BITS).cast("int"), F.pmod(at, F.lit(GROUP_BITS)).cast("smallint")
+    table = ids.select(group.alias("_group"), bit.alias("_bit")).groupBy("_group").agg(F.collect_set("_bit").alias("_bits"))
+    joined = docs.withColumns({"_group": group, "_bit": bit}).join(F.broadcast(table), "_group", "left")
+    return joined.withColumn("cand", F.coalesce(F.array_contains("_bits", F.col("_bit")), F.lit(False))).drop("_group", "_bit", "_bits")

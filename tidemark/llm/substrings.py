@@ -35,6 +35,8 @@ from tidemark.llm import exchange, idfilter, textops
 from tidemark.llm.scratch import parts_for, written
 
 U = textops.U
+#: Characters of text in a row of the candidate table.
+BLOCK_BYTES = 2 << 20
 _CHECK_SALT = U(0xA24BAED4963EE407)
 
 
@@ -165,7 +167,7 @@ def _blocks(texts: DataFrame, cands: DataFrame, blocks: int) -> DataFrame:
         for tid in sorted(text):
             group.append(tid)
             size += len(text[tid])
-            if size >= textops.CHUNK_BYTES:
+            if size >= BLOCK_BYTES:
                 yield row(pid, n, group, text, mult, pos)
                 group, size, n = [], 0, n + 1
         if group:
