@@ -30,6 +30,13 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_table(spark, sf_dir, "documents"), labels.filter("quality = 1"), 1.0 if share is None else share)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import setjoin
+
+    found = setjoin.link(_table(spark, sf_dir, "documents"), shingle=3, share=setjoin.Share(90, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import toxicity
 
@@ -70,6 +77,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_importance_resampling": op1_importance_resampling,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_toxicity": op3_toxicity,
     "op4_chat_format": op4_chat_format,
     "op5_spaced_seeds": op5_spaced_seeds,

@@ -331,10 +331,22 @@ def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_ea
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one left of each component: the one of the least id (of equal ids, one row)."""
-    found = link(docs, **how)
-    stay = written(found.filter("doc_id is null or doc_id = component_id").select("doc_id", "tid").distinct(), "setjoin-kept")
-    twice = stay.groupBy("doc_id").agg(F.min("tid").alias("tid"))
-    keyed = docs.withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    flagged = keyed.join(twice.filter("doc_id is not null"), ["doc_id", "tid"], "left_semi")
-    return flagged.dropDuplicates(["doc_id", "tid"]).select(*docs.columns)
+    """The documents with one left of each component: the one of the least id.
+
+    Of rows with that id, the one with the least text hash stays, once. Rows without an
+    id go only where they are linked with a row that has one; rows without a set stay.
+    Rows that surely stay are neither shuffled nor joined.
+    """
+    found = written(link(docs, **how), "setjoin-links")
+    sure = F.col("n_shingles") == 0
+    best = found.filter((F.col("doc_id") == F.col("component_id")) & ~sure).groupBy("component_id").agg(F.min("tid").alias("best"))
+    judged = found.filter(~sure & F.col("component_id").isNotNull()).join(best, "component_id")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tid") == F.col("best"))
+    marks = judged.groupBy("doc_id", "tid").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("copies")).filter("not stays or copies > 1")
+    marks = written(marks.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), "stays"), "setjoin-marks")
+    keyed = idfilter.flagged(docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))), marks.select(F.col("_tid").alias("_text")), "_text")
+    names = docs.columns
+    away = keyed.filter("cand").join(marks, F.col("_text").eqNullSafe(F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    away = written(away.filter("stays is null or stays").select(*names, "stays", "_tid"), "setjoin-maybe")
+    once = away.filter("stays").dropDuplicates(["doc_id", "_tid"]).select(*names)
+    return keyed.filter("not cand").select(*names).unionByName(away.filter("stays is null").select(*names)).unionByName(once)
