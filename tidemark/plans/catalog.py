@@ -1,10 +1,189 @@
-"""Registered queries over the provided tables and their SQL."""
+"""Registered queries: the engine's operators over the derived change log and state tables."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidemark.functions import envelope
+from tidemark.model import CURATED, ENTITIES, ORDERS, PAYMENTS, REFUNDS, Entity
+from tidemark.operators import events, marts, quality, upsert
+from tidemark.plans.oracles import ORACLES
+from tidemark.sources import fixtures
+from tidemark.sources.store import Store
+from tidemark.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_LOGS = {"orders": fixtures.order_log, "payments": fixtures.payment_log, "refunds": fixtures.refund_log}
+
+
+def _clock() -> Column:
+    return F.expr("timestamp '2024-01-01 00:00:00'")
+
+
+def _utc(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
+def _raw(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    log = _LOGS[name] if name else fixtures.change_log
+    return envelope.raw_rows(log(_utc(spark), sf_dir), _clock())
+
+
+def _classified(spark: SparkSession, sf_dir: str, entity: Entity = ORDERS) -> DataFrame:
+    return events.classify(_raw(spark, sf_dir, entity.name), entity)
+
+
+def _rebuilt(spark: SparkSession, sf_dir: str, entity: Entity) -> events.Rebuilt:
+    return events.from_classified(_classified(spark, sf_dir, entity), entity, _clock())
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, dates as text, clock columns out: for comparison across engines."""
+    keep = [f for f in df.schema.fields if f.name not in ("generated_at", "processing_date")]
+    cast = {"decimal": "double", "date": "string"}
+    return df.select(*[F.col(f.name).cast(cast.get(f.dataType.typeName(), f.dataType)).alias(f.name) for f in keep])
+
+
+_CURRENT = {
+    "orders": ["order_id", "customer_id", "order_status", "total_amount", "is_deleted", "source_lsn"],
+    "payments": ["payment_id", "order_id", "payment_status", "payment_method", "requested_amount", "approved_amount", "is_deleted", "source_lsn"],
+    "refunds": ["refund_id", "payment_id", "order_id", "refund_status", "refund_amount", "is_deleted", "source_lsn"],
+}
+
+
+def _current(entity: Entity) -> Query:
+    return lambda spark, d: _plain(_rebuilt(spark, d, entity).current.select(*_CURRENT[entity.name]))
+
+
+def _history(entity: Entity) -> Query:
+    return lambda spark, d: _rebuilt(spark, d, entity).history.select(entity.key, "change_op", "is_deleted", "source_lsn")
+
+
+def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [_rebuilt(spark, sf_dir, e).quarantine for e in CURATED]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _states(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    s = _utc(spark)
+    return {"orders": fixtures.orders_state(s, sf_dir), "payments": fixtures.payments_state(s, sf_dir), "refunds": fixtures.refunds_state(s, sf_dir)}
+
+
+def _marts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    s = _states(spark, sf_dir)
+    o, p, r = s["orders"], s["payments"], s["refunds"]
+    return {
+        "gold_daily_order_payment_summary": marts.daily_order_payment(o, p, r, _clock()), "gold_order_funnel_summary": marts.order_funnel(o, p, _clock()),
+        "gold_payment_failure_summary": marts.payment_failures(p, _clock()), "gold_refund_summary": marts.refund_summary(o, r, _clock()),
+    }
+
+
+def _mart(name: str) -> Query:
+    return lambda spark, d: _plain(_marts(spark, d)[name])
+
+
+def _violations(rows: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+    return lambda spark, d: rows(_states(spark, d) | {"items": fixtures.items_state(spark, d)}).agg(F.count(F.lit(1)).alias("violations"))
+
+
+def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _states(spark, sf_dir)
+    source = {k: t.drop("is_deleted") for k, t in s.items()} | {"order_items": fixtures.items_state(spark, sf_dir)}
+    log = _raw(spark, sf_dir)
+    raw = {e: log.filter(F.col("source_table") == e) for e in ENTITIES}
+    return quality.report(source, raw, s, _quarantine(spark, sf_dir), _marts(spark, sf_dir)).select("name", "observed")
+
+
+def _count_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [t.agg(F.count(F.lit(1)).alias("source_rows"), F.count_if(~F.col("is_deleted")).alias("active_rows")).select(F.lit(k).alias("entity"), "source_rows", "active_rows") for k, t in _states(spark, sf_dir).items()]
+    return quality._union(parts)
+
+
+def _delete_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for e in CURATED:
+        gone = _raw(spark, sf_dir, e.name).agg(F.count_if(F.col("op") == "d").alias("delete_events"))
+        kept = _rebuilt(spark, sf_dir, e).current.agg(F.count_if("is_deleted").alias("deleted_rows"))
+        parts.append(gone.crossJoin(F.broadcast(kept)).select(F.lit(e.name).alias("entity"), "delete_events", "deleted_rows"))
+    return quality._union(parts)
+
+
+def _upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in two halves by offset, the second upserted into the first's snapshot."""
+    raw = _raw(spark, sf_dir, "orders")
+    first, second = (upsert.batch_updates(raw.filter(f), ORDERS, _clock()) for f in ("kafka_offset % 4 = 1", "kafka_offset % 4 <> 1"))
+    return _plain(upsert.upsert(first, second, "order_id").select(*_CURRENT["orders"]))
+
+
+def _place(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/') if shared else tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
+    """The log written as files and taken in by the streaming job."""
+    place = _place(_utc(spark))
+    fixtures.change_log(spark, sf_dir).write.parquet(f"{place}/log")
+    store = Store(spark, f"{place}/tables")
+    from tidemark.sources import log
+
+    jobs.ingest(log.file_stream(spark, f"{place}/log"), store, f"{place}/checkpoints/ingest", clock=_clock()).awaitTermination()
+    return store, place
+
+
+def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = _ingested(spark, sf_dir)
+    return store.read_batches(jobs.RAW).groupBy("source_table").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, place = _ingested(spark, sf_dir)
+    jobs.maintain_current(jobs.raw_stream(store, ORDERS), ORDERS, store, f"{place}/checkpoints/orders", clock=_clock()).awaitTermination()
+    return _plain(store.read(ORDERS.current_table).select(*_CURRENT["orders"]))
+
+
+def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+
+
+QUERIES: dict[str, Query] = {
+    "bronze_event_id": lambda s, d: _raw(s, d, "orders").select(F.get_json_object("key_json", "$.id").cast("bigint").alias("order_id"), "kafka_offset", "event_id"),
+    "bronze_envelope_fields": lambda s, d: _raw(s, d).select("source_table", "kafka_offset", "op", "source_lsn", "source_tx_id"),
+    "bronze_route_counts": lambda s, d: _raw(s, d).groupBy("source_table").agg(F.count(F.lit(1)).alias("n")),
+    "bronze_duplicate_event_id": lambda s, d: quality.duplicate_event_ids(_raw(s, d)).agg(F.count(F.lit(1)).alias("duplicate_groups")),
+    "bronze_event_id_audit": lambda s, d: quality.event_id_audit(_raw(s, d)),
+    "silver_dedup": lambda s, d: events.deduplicate(events.parse(_raw(s, d, "orders"), ORDERS), ORDERS).select("order_id", "kafka_offset", "op"),
+    "silver_stale_events": lambda s, d: _rebuilt(s, d, ORDERS).quarantine.select("entity", "primary_key", "kafka_offset", "source_lsn", "previous_max_source_lsn", "reason"),
+    "silver_valid_events": lambda s, d: _classified(s, d).filter("not is_stale").select("order_id", "kafka_offset"),
+    "silver_orders_current": _current(ORDERS),
+    "silver_payments_current": _current(PAYMENTS),
+    "silver_refunds_current": _current(REFUNDS),
+    "silver_orders_history": _history(ORDERS),
+    "silver_payments_history": _history(PAYMENTS),
+    "silver_refunds_history": _history(REFUNDS),
+    "silver_quarantine": lambda s, d: _quarantine(s, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n")),
+    "silver_soft_deletes": lambda s, d: _rebuilt(s, d, ORDERS).current.filter("is_deleted").select("order_id"),
+    "silver_upsert_orders": _upsert_orders,
+    "gold_daily_order_payment_summary": _mart("gold_daily_order_payment_summary"),
+    "gold_order_funnel_summary": _mart("gold_order_funnel_summary"),
+    "gold_payment_failure_summary": _mart("gold_payment_failure_summary"),
+    "gold_refund_summary": _mart("gold_refund_summary"),
+    "dq_order_total_vs_items": _violations(lambda s: quality.order_totals_off(s["orders"], s["items"])),
+    "dq_approved_vs_total": _violations(lambda s: quality.approved_over_total(s["payments"], s["orders"])),
+    "dq_refund_vs_approved": _violations(lambda s: quality.refunds_over_approved(s["refunds"], s["payments"])),
+    "dq_paid_without_capture": _violations(lambda s: quality.paid_without_capture(s["orders"], s["payments"])),
+    "dq_refunded_without_completed": _violations(lambda s: quality.refunded_without_refund(s["orders"], s["refunds"])),
+    "dq_count_reconciliation": _count_reconciliation,
+    "dq_delete_reconciliation": _delete_reconciliation,
+    "dq_all_checks": _all_checks,
+    "stream_bronze_counts": _stream_counts,
+    "stream_upsert_current": _stream_current,
+    "ext_state_transitions": lambda s, d: events.transitions(_rebuilt(s, d, ORDERS).history, ORDERS),
+    "events_props_json": _props,
+}
