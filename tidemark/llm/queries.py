@@ -63,6 +63,18 @@ def op6_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import flatgraph
+
+    return flatgraph.link(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm import gru
+
+    return gru.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm import substrings
 
@@ -82,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op5_spaced_seeds": op5_spaced_seeds,
     "op6_bounded_ring": op6_bounded_ring,
+    "op7_flat_graph": op7_flat_graph,
+    "op8_recurrent_lm": op8_recurrent_lm,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_byte_bpe": op10_byte_bpe,
 }
