@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 GROUPS, GROUP_BITS = 1 << 12, 1 << 10
 
 
-def flagged(docs: DataFrame, ids: DataFrame, col: str = "tid") -> DataFrame:
-    """``docs`` with a boolean ``cand``: surely false where the row's id isn't among ``ids``.
+def flagged(docs: DataFrame, ids: DataFrame, col: str, flag: str = "__cand") -> DataFrame:
+    """``docs`` with a boolean ``flag``: surely false where its ``col`` isn't among the ``tid`` of ``ids``.
 
     It may be true for some others, so a join must follow; a full filter only costs time.
     """
-    at = F.pmod(F.xxhash64(F.lit("cand"), F.col(col)), F.lit(GROUPS * GROUP_BITS))
-    group, bit = F.floor(at / GROUP_BITS).cast("int"), F.pmod(at, F.lit(GROUP_BITS)).cast("smallint")
-    table = ids.select(group.alias("_group"), bit.alias("_bit")).groupBy("_group").agg(F.collect_set("_bit").alias("_bits"))
-    joined = docs.withColumns({"_group": group, "_bit": bit}).join(F.broadcast(table), "_group", "left")
-    return joined.withColumn("cand", F.coalesce(F.array_contains("_bits", F.col("_bit")), F.lit(False))).drop("_group", "_bit", "_bits")
+    cell = lambda c: F.pmod(F.xxhash64(F.lit("cand"), F.col(c)), F.lit(GROUPS * GROUP_BITS))
+    group = lambda c: F.floor(cell(c) / GROUP_BITS).cast("int")
+    bit = lambda c: F.pmod(cell(c), F.lit(GROUP_BITS)).cast("smallint")
+    table = ids.select(group("tid").alias("__group"), bit("tid").alias("__bit")).groupBy("__group").agg(F.collect_set("__bit").alias("__bits"))
+    joined = docs.withColumns({"__group": group(col), "__bit": bit(col)}).join(F.broadcast(table), "__group", "left")
+    return joined.withColumn(flag, F.coalesce(F.array_contains("__bits", F.col("__bit")), F.lit(False))).drop("__group", "__bit", "__bits")

@@ -68,24 +68,28 @@ def flow(ring: DataFrame, arrivals: DataFrame, shards: int) -> DataFrame:
     share = F.expr("if(mine = 0, cap * k div nodes, cast(cast(upto as decimal(20,0)) * cast(cap as decimal(18,0)) div cast(mine as decimal(20,0)) as bigint))")
     t = t.withColumn("share", share)
     t = t.withColumn("quota", F.col("share") - F.lag("share", 1, 0).over(here))
+    # A node's own rows come first; only what is over its quota walks on, into the room that others have.
+    t = t.withColumn("own", F.least("n", "quota")).withColumns({"over": F.col("n") - F.col("own"), "room": F.col("quota") - F.col("own")})
     # The walk starts behind the node where the running surplus is least: nothing is carried into there.
     ring_order = Window.orderBy("node")
-    t = t.withColumn("surplus", F.sum(F.col("n") - F.col("quota")).over(ring_order.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.withColumn("surplus", F.sum(F.col("over") - F.col("room")).over(ring_order.rowsBetween(Window.unboundedPreceding, 0)))
     t = written(t, "ring-quota")
     least = t.agg(F.min(F.struct("surplus", "node")).alias("m")).select(F.col("m.node").alias("cut"))
     t = t.crossJoin(F.broadcast(least)).withColumn("step", F.expr("if(node > cut, 0, 1)"))
     walk = Window.orderBy("step", "node").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("a1", F.sum("n").over(walk)).withColumn("a0", F.col("a1") - F.col("n"))
-    # Quotas add up to the rows, so all that arrive up to a node are served there or later, none waits at the end.
-    t = t.withColumn("q", F.sum("quota").over(walk)).withColumn("slack", F.greatest(F.lit(0), F.max(F.col("q") - F.col("a1")).over(walk)))
+    t = t.withColumn("a1", F.sum("over").over(walk)).withColumn("a0", F.col("a1") - F.col("over"))
+    # Quotas add up to the rows, so all the room is taken and nothing waits at the end.
+    t = t.withColumn("q", F.sum("room").over(walk)).withColumn("slack", F.greatest(F.lit(0), F.max(F.col("q") - F.col("a1")).over(walk)))
     t = t.withColumn("d1", F.col("q") - F.col("slack")).withColumn("d0", F.coalesce(F.lag("d1").over(Window.orderBy("step", "node")), F.lit(0)))
-    t = t.withColumn("base", F.sum(F.col("d1") - F.col("d0")).over(here.rowsBetween(Window.unboundedPreceding, -1)))
-    t = written(t.select("node", "shard", "a0", "a1", "d0", "d1", F.coalesce("base", F.lit(0)).alias("base")), "ring-flow")
-    a = t.filter("a1 > a0").select("node", "a0", "a1")
-    d = t.filter("d1 > d0").select("shard", "d0", "d1", "base")
+    t = t.withColumn("base", F.sum(F.col("own") + F.col("d1") - F.col("d0")).over(here.rowsBetween(Window.unboundedPreceding, -1)))
+    t = written(t.select("node", "shard", "own", "a0", "a1", "d0", "d1", F.coalesce("base", F.lit(0)).alias("base")), "ring-flow")
+    a = t.filter("a1 > a0").select("node", F.col("own").alias("from"), "a0", "a1")
+    d = t.filter("d1 > d0").select("shard", "d0", "d1", (F.col("base") + F.col("own")).alias("base"))
+    stay = t.filter("own > 0").select("node", F.lit(0).cast("bigint").alias("lo"), F.col("own").alias("hi"), "shard", F.col("base").alias("at"))
     pieces = a.join(F.broadcast(d), (F.col("d0") < F.col("a1")) & (F.col("d1") > F.col("a0")))
     lo, hi = F.greatest("a0", "d0"), F.least("a1", "d1")
-    return pieces.select("node", (lo - F.col("a0")).alias("lo"), (hi - F.col("a0")).alias("hi"), "shard", (F.col("base") + lo - F.col("d0")).alias("at"))
+    move = pieces.select("node", (lo - F.col("a0") + F.col("from")).alias("lo"), (hi - F.col("a0") + F.col("from")).alias("hi"), "shard", (F.col("base") + lo - F.col("d0")).alias("at"))
+    return stay.unionByName(move)
 
 
 def shard(docs: DataFrame, shards: int = 40, replicas: int = 128, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,6 +38,8 @@ SKETCH_BITS = 1024
 _SUB, _SECOND = U(0x8CB92BA72F3D8DD7), U(0xE7037ED1A0B428DB)
 #: Relative costs: an index entry sent, and a chance pair looked at.
 ENTRY_COST, PAIR_COST = 1.0, 4.0
+#: Second members of pairs that are verified together.
+BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -235,21 +237,50 @@ def _likely(pairs: DataFrame, classes: DataFrame, share: Share) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, share: Share) -> DataFrame:
-    """The pairs whose texts' sets reach the similarity, by exact counting."""
+    """The pairs whose texts' sets reach the similarity, by exact counting.
+
+    Pairs are dealt out by component of the graph they form, large components by their
+    second member in blocks of about BLOCK, so a text travels once for each block it is in.
+    """
+    pairs = written(pairs, "setjoin-likely")
+    comp = written(graph.components(pairs), "setjoin-groups")
+    sizes = comp.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    named = pairs.join(comp.select(F.col("node").alias("a"), "component"), "a").join(sizes, "component")
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("b"), F.col("blocks"))).select("component", "part", "a", "b", "tid_a", "tid_b")
+    ends = dealt.select("component", "part", F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("tid_a").alias("tid")), F.struct(F.col("b").alias("h1"), F.col("tid_b").alias("tid")))).alias("x"))
+    nodes = ends.select("component", "part", "x.h1", "x.tid").distinct().join(texts, "tid")
+    none = F.lit(None).cast("long")
+    rows = nodes.select("component", "part", F.col("h1").alias("a"), none.alias("b"), "text").unionByName(dealt.select("component", "part", "a", "b", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block, the texts come first."""
+        now, sets = None, {}
         for batch in batches:
-            for part in textops.chunks(batch, "text_b"):
-                x, n = textops.shingle_sets(part.column(2), shingle)
-                y, m = textops.shingle_sets(part.column(3), shingle)
-                ex, ey = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(m)])
-                both = np.array([len(np.intersect1d(x[ex[i] : ex[i + 1]], y[ey[i] : ey[i + 1]], assume_unique=True)) for i in range(len(n))], np.int64)
-                good = (both * share.den >= (n + m - both) * share.num) & (both > 0)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in part.columns[:2]], ["a", "b"])
-
-    t = texts.select("tid", "text")
-    joined = pairs.join(t.select(F.col("tid").alias("tid_b"), F.col("text").alias("text_b")), "tid_b").join(t.select(F.col("tid").alias("tid_a"), F.col("text").alias("text_a")), "tid_a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            block = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            is_text = np.array(batch.column(3).is_null())
+            good, i = [], 0
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            while i < len(block):
+                if block[i] != now:
+                    now, sets = block[i], {}
+                j = i
+                while j < len(block) and block[j] == now and is_text[j] == is_text[i]:
+                    j += 1
+                if is_text[i]:
+                    for part in textops.chunks(batch.slice(i, j - i), "text"):
+                        tokens, n = textops.shingle_sets(part.column(4), shingle)
+                        sets |= zip(part.column(2).to_pylist(), np.split(tokens, np.cumsum(n)[:-1]))
+                else:
+                    for k in range(i, j):
+                        x, y = sets[a[k]], sets[b[k]]
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both and both * share.den >= (len(x) + len(y) - both) * share.num:
+                            good.append(k)
+                i = j
+            yield pa.RecordBatch.from_arrays([pa.array([v[k] for k in good], pa.int64()) for v in (a, b)], ["a", "b"])
+
+    blocks = rows.repartition("component", "part").sortWithinPartitions("component", "part", F.col("b").asc_nulls_first(), "a")
+    return blocks.select("component", "part", "a", "b", "text").mapInArrow(run, "a long, b long")
 
 
 def _across(members: DataFrame, parts: int, share: Share) -> DataFrame:
@@ -304,16 +335,16 @@ def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_ea
     docs = docs.select("doc_id", "text").withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
     prof = written(profiles(docs, shingle), "setjoin-profiles")
     some = prof.filter("n > 0")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "tid")).alias("rep"), F.min("sketch").alias("sketch"))
-    classes = written(classes.select("h1", "h2", "n", F.col("rep.doc_id").alias("rep"), F.col("rep.tid").alias("tid"), "sketch"), "setjoin-classes")
+    classes = written(some.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min("tid").alias("tid"), F.min("sketch").alias("sketch")), "setjoin-classes")
     binned = classes.groupBy(F.floor(F.log("n") * 50).alias("bin")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c")).collect()
     bands = plan(share, {r.n: r.c for r in binned}, max((r.n for r in binned), default=0))
     buckets = written(_buckets(docs, shingle, share, bands, parts), "setjoin-buckets")
     members = _members(buckets)
     hubs = members.filter("hub <> h1").select(F.col("hub").alias("a"), F.col("h1").alias("b")).distinct()
     needed = written(members.select("h1").distinct().join(classes, "h1"), "setjoin-needed")
-    flagged = idfilter.flagged(docs, needed.select("tid")).filter("cand and text is not null")
-    texts = written(flagged.join(needed.select("tid", F.col("rep").alias("doc_id")), ["tid", "doc_id"]).groupBy("tid").agg(F.first("text").alias("text")), "setjoin-texts")
+    flagged = idfilter.flagged(docs, needed.select("tid"), "tid").filter("__cand and text is not null")
+    one = flagged.groupBy("tid").agg(F.first("text").alias("text"))  # copies are merged before the shuffle
+    texts = written(one.join(needed.select("tid").distinct(), "tid", "left_semi"), "setjoin-texts")
     first = written(_verify(_likely(hubs, needed, share), texts, shingle, share), "setjoin-edges")
     comp = written(graph.components(first), "setjoin-components")
     placed = members.select("bucket", "h1").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
@@ -343,10 +374,10 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     judged = found.filter(~sure & F.col("component_id").isNotNull()).join(best, "component_id")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tid") == F.col("best"))
     marks = judged.groupBy("doc_id", "tid").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("copies")).filter("not stays or copies > 1")
-    marks = written(marks.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), "stays"), "setjoin-marks")
-    keyed = idfilter.flagged(docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit("")))), marks.select(F.col("_tid").alias("_text")), "_text")
+    marks = written(marks.select(F.col("doc_id").alias("__id"), F.col("tid").alias("__mark"), F.col("stays").alias("__stays")), "setjoin-marks")
+    keyed = idfilter.flagged(docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit("")))), marks.select(F.col("__mark").alias("tid")), "__text")
     names = docs.columns
-    away = keyed.filter("cand").join(marks, F.col("_text").eqNullSafe(F.col("_tid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    away = written(away.filter("stays is null or stays").select(*names, "stays", "_tid"), "setjoin-maybe")
-    once = away.filter("stays").dropDuplicates(["doc_id", "_tid"]).select(*names)
-    return keyed.filter("not cand").select(*names).unionByName(away.filter("stays is null").select(*names)).unionByName(once)
+    away = keyed.filter("__cand").join(marks, F.col("__text").eqNullSafe(F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    away = written(away.filter("__stays is null or __stays").select(*names, "__stays", "__mark"), "setjoin-maybe")
+    once = away.filter("__stays").dropDuplicates(["doc_id", "__mark"]).select(*names)
+    return keyed.filter("not __cand").select(*names).unionByName(away.filter("__stays is null").select(*names)).unionByName(once)

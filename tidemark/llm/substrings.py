@@ -278,21 +278,22 @@ def _cut(blocks: DataFrame, masks: DataFrame, length: int, parts: int) -> DataFr
     return joined.mapInArrow(run, "tid long, n_words long, n_removed long, kept string")
 
 
-def _search(docs: DataFrame, length: int, bytes_each: int) -> tuple[DataFrame, DataFrame]:
-    """(documents with tid and cand, results of candidate texts)."""
+def _search(docs: DataFrame, length: int, bytes_each: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents without candidates, documents with (both with __tid), and the candidates' results."""
     parts, blocks = parts_for(docs, bytes_each), parts_for(docs, 4 * bytes_each)
-    ided = docs.withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = ided.select("tid", "text").filter("text is not null")
+    ided = docs.withColumn("__tid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = ided.select(F.col("__tid").alias("tid"), "text").filter("text is not null")
     cands = written(_candidates(texts, length, parts, blocks), "repeat-anchors")
-    flagged = idfilter.flagged(ided, cands)
-    table = written(_blocks(flagged.filter("cand and text is not null").select("tid", "text"), cands, blocks), "repeat-texts")
+    flagged = idfilter.flagged(ided, cands, "__tid")
+    chosen = flagged.filter("__cand and text is not null").drop("__cand")
+    table = written(_blocks(chosen.select(F.col("__tid").alias("tid"), "text"), cands, blocks), "repeat-texts")
     masks = written(_find(table, length, parts), "repeat-windows")
-    return flagged, written(_cut(table, masks, length, parts), "repeat-cuts")
+    return flagged.filter("not __cand or text is null").drop("__cand"), chosen, written(_cut(table, masks, length, parts), "repeat-cuts")
 
 
 def digests(docs: DataFrame, length: int = 35, bytes_each: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) per row."""
-    flagged, cuts = _search(docs.select("doc_id", "text"), length, bytes_each)
+    same, chosen, cuts = _search(docs.select("doc_id", "text"), length, bytes_each)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,17 +304,14 @@ def digests(docs: DataFrame, length: int = 35, bytes_each: int = 4 << 20) -> Dat
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([0] * len(n), pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    same = flagged.filter("not cand or text is null").select("doc_id", "text").mapInArrow(plain, out)
-    found = cuts.select("tid", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
-    return same.unionByName(flagged.filter("cand and text is not null").select("doc_id", "tid").join(found, "tid").drop("tid"))
+    same = same.select("doc_id", "text").mapInArrow(plain, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = cuts.select(F.col("tid").alias("__tid"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return same.unionByName(chosen.select("doc_id", "__tid").join(found, "__tid").drop("__tid"))
 
 
 def remove(docs: DataFrame, length: int = 35, bytes_each: int = 4 << 20) -> DataFrame:
     """The documents with repeated passages cut out of their text; others stay as they are."""
-    flagged, cuts = _search(docs, length, bytes_each)
-    same = flagged.filter("not cand or text is null").drop("tid", "cand")
-    changed = flagged.filter("cand and text is not null").select(*[c for c in flagged.columns if c not in ("cand",)])
-    both = changed.join(cuts.select("tid", "n_removed", "kept"), "tid")
-    both = both.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return same.unionByName(both.select(*docs.columns))
+    same, chosen, cuts = _search(docs, length, bytes_each)
+    found = cuts.select(F.col("tid").alias("__tid"), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
+    changed = chosen.join(found, "__tid").withColumn("text", F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text")))
+    return same.select(*docs.columns).unionByName(changed.select(*docs.columns))

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.llm import sample, textops
 
@@ -179,21 +178,26 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_voters: int
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row."""
-    out = scored(docs.select("doc_id", "text"), model).withColumn("held_out", sample.bucket(F.col("doc_id"), folds) == 0)
+    """doc_id, held_out, score, predicted for every row; narrow."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in textops.chunks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1)))], ["doc_id", "score"])
+
+    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double").withColumn("held_out", sample.bucket(F.col("doc_id"), folds) == 0)
     return out.select("doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents as they are with a further column ``score``; narrow."""
+def keep_clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The documents with a lower score, columns as they are; narrow."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.chunks(batch, names[at]):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column(at)))], [*names, "score"])
+            for part in textops.chunks(batch, "text"):
+                yield part.filter(pa.array(shared.value.score(part.column(at)) < below))
 
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
