@@ -36,7 +36,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         e = written(_small(_large(e)), "components")
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_if(F.col("a") <= F.col("b"))).first()
-        if state == last:
+        if state == last or not state[0]:
             break
         last = state
     else:
