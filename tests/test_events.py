@@ -63,6 +63,8 @@ def test_duplicates_and_reinsert_after_delete(raw):
     got = events.rebuild(raw(record(0, lsn=1), record(0, lsn=1), record(1, op="d", lsn=2), record(2, lsn=3, status="CREATED")), ORDERS)
     assert rows(got.current, "order_id", "order_status", "is_deleted") == [(1, "CREATED", False)]
     assert got.history.count() == 3
+    gone = events.with_delete_event(events.rebuild(raw(record(0), record(1, op="d", lsn=9)), ORDERS).current).first()
+    assert gone.is_deleted and gone.delete_event_id == gone.event_id
 
 
 def test_one_shuffle_classifies(raw):

@@ -89,6 +89,11 @@ def from_classified(events: DataFrame, entity: Entity, clock: Column | None = No
     return Rebuilt(current(valid, entity, clock), history(valid, entity), quarantine(stale, entity, clock))
 
 
+def with_delete_event(rows: DataFrame) -> DataFrame:
+    """Current rows with the id of the event that deleted them."""
+    return rows.withColumn("delete_event_id", F.when(F.col("is_deleted"), F.col("event_id")))
+
+
 def transitions(history_rows: DataFrame, entity: Entity) -> DataFrame:
     """Status changes of each key in order, and whether each is an allowed edge."""
     order = Window.partitionBy(entity.key).orderBy("source_lsn", "source_tx_id", "event_ts", "kafka_offset", "event_id")

@@ -123,6 +123,8 @@ def _upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _place(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and (not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/') if shared else tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
 
 
