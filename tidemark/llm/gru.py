@@ -256,8 +256,8 @@ class Statistics:
 
 
 def _fit_rows(docs: DataFrame, most_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a bounded sample of training documents, on the driver."""
-    chosen = sample.bounded(docs.filter("not held_out").select("doc_id", "text"), most_docs)
+    """Tokens of a bounded sample of different training texts, on the driver."""
+    chosen = sample.bounded(docs.filter("not held_out").select("tid", "text"), most_docs, "tid").dropDuplicates(["tid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
