@@ -20,8 +20,8 @@ def test_stages_equal_plain_versions(spark):
     assert set(cut) == set(single) and all((cut[i] == single[i]) == (removed[i] == 0) for i in cut)
     again = {i: (len(words(t)), n) for i, t in cut.items() for n in [removed[i]]}
     assert all(left == len(words(single[i])) - n for i, (left, n) in again.items())
-    items = [" ".join(words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    leaked = {i for i, t in cut.items() if any(f" {x} " in f" {' '.join(words(t))} " for x in items)}
+    items = [b" ".join(words(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaked = {i for i, t in cut.items() if any(b" " + x + b" " in b" " + b" ".join(words(t)) + b" " for x in items)}
     assert leaked and not leaked & set(last) and len(last) >= len(cut) - len(leaked) - 2
     codec = bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
