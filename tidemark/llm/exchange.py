@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm import textops
+
 #: Entries that a mapper holds before it sends them.
 HOLD = 1 << 19
 BLOB = "pid int, data binary"
@@ -68,6 +70,8 @@ def exchange(blobs: DataFrame, parts: int, kinds: Sequence[str], reduce: Callabl
         cols = unpack(batches, kinds)
         if len(cols[0]):
             yield from reduce(cols)
+        del cols
+        textops.release()
 
     return blobs.repartitionById(parts, blobs.pid).mapInArrow(run, schema)
 

@@ -40,6 +40,8 @@ _SUB, _SECOND = U(0x8CB92BA72F3D8DD7), U(0xE7037ED1A0B428DB)
 ENTRY_COST, PAIR_COST = 1.0, 4.0
 #: Second members of pairs that are verified together.
 BLOCK = 1000
+#: One in so many buckets takes part in the first round.
+FIRST_ROUND = 4
 
 
 @dataclass(frozen=True)
@@ -283,6 +285,26 @@ def _verify(pairs: DataFrame, texts: DataFrame, shingle: int, share: Share) -> D
     return blocks.select("component", "part", "a", "b", "text").mapInArrow(run, "a long, b long")
 
 
+def _open(placed: DataFrame, parts: int) -> DataFrame:
+    """The members of buckets that still hold several components: bucket, h1, component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        cols = [np.concatenate([np.array(b.column(k)) for b in held]) for k in range(3)]
+        order = np.argsort(cols[0], kind="stable")
+        bucket, who, comp = (c[order] for c in cols)
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+        at = np.flatnonzero(np.repeat(several, np.diff(np.append(first, len(bucket)))))
+        for lo in range(0, len(at), 50_000):
+            some = at[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (bucket, who, comp)], ["bucket", "h1", "component"])
+
+    return placed.select("bucket", "h1", "component").repartition(parts, "bucket").mapInArrow(run, "bucket long, h1 long, component long")
+
+
 def _across(members: DataFrame, parts: int, share: Share) -> DataFrame:
     """Pairs across components within each bucket whose sketches allow the similarity.
 
@@ -340,7 +362,8 @@ def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_ea
     bands = plan(share, {r.n: r.c for r in binned}, max((r.n for r in binned), default=0))
     buckets = written(_buckets(docs, shingle, share, bands, parts), "setjoin-buckets")
     members = _members(buckets)
-    hubs = members.filter("hub <> h1").select(F.col("hub").alias("a"), F.col("h1").alias("b")).distinct()
+    # The first round is there to merge most of a group cheaply, for which some of its buckets will do.
+    hubs = _members(buckets.filter(F.pmod("bucket", F.lit(FIRST_ROUND)) == 0)).filter("hub <> h1").select(F.col("hub").alias("a"), F.col("h1").alias("b")).distinct()
     needed = written(members.select("h1").distinct().join(classes, "h1"), "setjoin-needed")
     flagged = idfilter.flagged(docs, needed.select("tid"), "tid").filter("__cand and text is not null")
     one = flagged.groupBy("tid").agg(F.first("text").alias("text"))  # copies are merged before the shuffle
@@ -348,10 +371,12 @@ def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_ea
     first = written(_verify(_likely(hubs, needed, share), texts, shingle, share), "setjoin-edges")
     comp = written(graph.components(first), "setjoin-components")
     placed = members.select("bucket", "h1").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    rest = placed.join(open_, "bucket").join(needed.select("h1", "n", "sketch"), "h1")
+    rest = _open(placed, parts).join(needed.select("h1", "n", "sketch"), "h1")
     pairs = written(_across(rest, parts, share), "setjoin-pairs")
-    second = written(_verify(_likely(pairs, needed, share), texts, shingle, share), "setjoin-edges")
+    named = pairs
+    for side in ("a", "b"):
+        named = named.join(needed.select(F.col("h1").alias(side), F.col("tid").alias(f"tid_{side}")), side)
+    second = written(_verify(named, texts, shingle, share), "setjoin-edges")
     final = graph.components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     mapped = classes.select("h1", "h2", "rep").join(final.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     lowest = mapped.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -7,12 +7,18 @@ A window's hash is the same construction over word hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another system's library
+    _libc = None
+
 U = np.uint64
 CHUNK_BYTES = 1 << 19
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -66,6 +72,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         end = min(max(end, at + 1), n)
         yield batch.slice(at, end - at)
         at = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, as a worker that waits for its next task keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
