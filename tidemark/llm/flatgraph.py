@@ -31,8 +31,8 @@ from tidemark.llm import graph
 from tidemark.llm.scratch import written
 
 #: Sample for the centroids, classes aimed at in a shard before overlap, and most of a shard's graph.
-SAMPLE, TARGET, MOST = 20_000, 1_200, 6_000
-DEGREE, CANDIDATES, SLACK, BEAM, LEAST_RECALL = 24, 64, 1.2, 24, 0.99
+SAMPLE, TARGET, MOST = 20_000, 400, 6_000
+DEGREE, CANDIDATES, SLACK, BEAM, LEAST_RECALL = 24, 64, 1.2, 32, 0.9995
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -143,7 +143,7 @@ def expand(x: np.ndarray, nbr: np.ndarray, ids: np.ndarray, sims: np.ndarray, le
     return found
 
 
-def pairs_in_shard(x: np.ndarray, nbr: np.ndarray, least: float, audit: int = 64) -> tuple[np.ndarray, float]:
+def pairs_in_shard(x: np.ndarray, nbr: np.ndarray, least: float, audit: int = 256) -> tuple[np.ndarray, float]:
     """Linked pairs (m x m, symmetric, without the diagonal) and the audited recall."""
     m = len(x)
     start = int(np.argmax(x @ x.mean(0)))
@@ -270,8 +270,8 @@ def _centroids(classes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
     out = {}
     for r in large:
         x = np.array([v.embedding for v in sorted((v for v in rows if (v.label, v.dim) == (r.label, r.dim)), key=lambda v: v.cid)], np.float64).reshape(-1, r.dim)
-        k = -(-r["count"] // TARGET)
-        if len(x) >= k:
+        k = min(-(-r["count"] // TARGET), len(x) // 4)  # beyond the sample's reach shards grow instead
+        if k > 1:
             out[r.label, r.dim] = kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), k)
     return out
 
