@@ -1,3 +1,4 @@
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -138,6 +139,38 @@ def test_decontamination(spark, docs):
     assert decontam.overlaps(docs(rows), bench.limit(0)).count() == 0 and decontam.clean(docs([]), bench).count() == 0
 
 
+def test_masks_hit_every_overlap():
+    masks = [(len(m), sum(1 << i for i, c in enumerate(m) if c == "x")) for m in decontam.MASKS]
+    for equal in range(10, 20):
+        for gaps in range(equal // 3 + 1):
+            n = equal + gaps
+            gone = np.array([sum(1 << i for i in z) for z in itertools.combinations(range(1, n - 1), gaps)], np.int64)
+            kept = (1 << n) - 1 - gone
+            hit = np.zeros(len(kept), bool)
+            for span, mask in masks:
+                for k in range(n - span + 1):
+                    hit |= (kept >> k) & mask == mask
+            assert hit.all(), (equal, gaps)
+
+
+def test_substituted_items_are_found():
+    rng = np.random.default_rng(12)
+    items, texts, want = [], [], []
+    for n in (10, 11, 12, 13, 15, 20, 30, 40, 60):
+        gone = [np.arange(phase, n, 5) for phase in range(5)] if n >= 15 else []
+        gone += [rng.choice(n, int(rng.integers(0, (n - 10) // 2 + 1 if n < 20 else n // 4 + 1)), replace=False) for _ in range(60)]
+        for g in gone:
+            words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            items.append(" ".join(words))
+            for k in g:
+                words[k] = "other"
+            texts.append("before it " + " ".join(words) + " and after")
+            if n - len(g) >= 10:
+                want.append((len(texts) - 1, len(items) - 1))
+    found = {(r, i) for r, i, *_ in decontam.search(pa.array(texts), decontam.index(list(range(len(items))), items), 10, 0.75)}
+    assert len(want) > 500 and set(want) <= found
+
+
 def test_hashes_agree_across_chunks():
     from tidemark.llm import textops
 

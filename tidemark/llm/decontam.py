@@ -6,9 +6,14 @@ benchmark items are joined with those of all stretches of the documents; around
 item and document are aligned word by word, and the overlap is the best stretch of the
 alignment, where an equal word counts one and a substituted word costs one.
 
+The masks together hit every overlap of ten equal words or more at a share of 0.75 or more.
+An overlap of 20 equal words or more splits into two of ten or more, one of which has the
+share, so it is enough that they hit all patterns of 10 to 19 equal words, which a test
+enumerates. The guarantee holds for these thresholds and stricter ones.
+
 Words are runs of letters and digits (A-Z lower-cased, bytes of other scripts kept). Items
-shorter than the longest mask are matched as a whole; items of fewer than ``least_item``
-words are not searched, and null or empty texts match nothing. Repeated documents are
+of fewer than ``least_words`` words are matched as a whole; items of fewer than
+``least_item`` words are not searched, and null or empty texts match nothing. Repeated documents are
 reported each, repeated items each under their own id (ties in item text give one row per
 item). Extra columns are ignored and empty tables give empty results.
 
@@ -32,9 +37,9 @@ U = textops.U
 SEPARATORS = textops.NON_LETTERS.copy()
 SEPARATORS[48:58] = False
 #: Fixed masks: x positions are hashed, others ignored.
-MASKS = ("xx-xx--xxx-x", "x-xxx-x--xxx", "xxxx--x-xx-x")
+MASKS = ("xxxx-xx", "xxx----------xxx", "xx-x---xxx", "xxx--x-xx", "xx---x---xxx", "xxxxxx", "xxxxx--x")
 _PICK = textops.mix(np.arange(1, 257, dtype=np.uint64)) | U(1)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def seeds(hashes: np.ndarray, bounds: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,18 +65,18 @@ class Index:
     filter: np.ndarray
 
 
-def index(ids: list[int], texts: list[str | None], masks=MASKS, least_item: int = 5) -> Index:
+def index(ids: list[int], texts: list[str | None], masks=MASKS, least_words: int = 10, least_item: int = 5) -> Index:
     w = textops.words(pa.array(texts, pa.string()), lower=True, separators=SEPARATORS)
-    longest = max(map(len, masks))
-    short = sorted({int(n) for n in w.counts if least_item <= n < longest})
+    whole = max(least_words, min(map(len, masks)))  # items of fewer words must be equal in all
+    short = sorted({int(n) for n in w.counts if least_item <= n < whole})
     masks = [*masks, *("x" * n for n in short)]
     found = []
     for k, mask in enumerate(masks):
         h, at, doc = seeds(w.hash, w.bounds, mask, k)
         offset = at - w.bounds[doc]
         n = w.counts[doc]
-        keep = n >= longest if k < len(masks) - len(short) else n == len(mask)
-        found.append((h[keep], doc[keep], offset[keep]))
+        keep = n >= whole if k < len(masks) - len(short) else n == len(mask)
+        found.append((h[keep], doc[keep].astype(np.int32), offset[keep].astype(np.int32)))
     seed, item, offset = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(seed, kind="stable")
     seed = seed[order]
@@ -130,7 +135,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = part.collect()  # one block of bounded size
-        found = _overlaps(docs, index([r.item_id for r in rows], [r.text for r in rows], masks), least_words, least_share)
+        found = _overlaps(docs, index([r.item_id for r in rows], [r.text for r in rows], masks, least_words), least_words, least_share)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -156,10 +161,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
         hit = overlaps(docs, benchmark, **how).select("doc_id").distinct()
         return docs.join(hit, "doc_id", "left_anti")
     rows = benchmark.filter("text is not null").collect()  # one block of bounded size
-    ix = index([r.item_id for r in rows], [r.text for r in rows], how.get("masks", MASKS))
+    least_words, least_share = how.get("least_words", 10), how.get("least_share", 0.75)
+    ix = index([r.item_id for r in rows], [r.text for r in rows], how.get("masks", MASKS), least_words)
     shared = docs.sparkSession.sparkContext.broadcast(ix)
     names, at = docs.columns, docs.columns.index("text")
-    least_words, least_share = how.get("least_words", 10), how.get("least_share", 0.75)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
