@@ -171,6 +171,34 @@ def test_substituted_items_are_found():
     assert len(want) > 500 and set(want) <= found
 
 
+def _overlapping(doc, item, least_words, least_share):
+    """The most equal words of any stretch of any alignment that is accepted, or 0, by trying all."""
+    best = 0
+    for shift in range(1 - len(item), len(doc)):
+        eq = [doc[i] == item[i - shift] for i in range(max(0, shift), min(len(doc), shift + len(item)))]
+        for s in range(len(eq)):
+            same = 0
+            for e in range(s, len(eq)):
+                same += eq[e]
+                if same >= min(least_words, len(item)) and same >= least_share * (e + 1 - s):
+                    best = max(best, same)
+    return best
+
+
+def test_overlaps_equal_brute_force():
+    rng = np.random.default_rng(13)
+    items, texts = [], []
+    patterns = ["1" * 15 + "0" * 12 + "1" * 15, "1" * 20 + "0" * 15 + "1" * 20, "1" * 12 + "0" * 9 + "1" * 12, "1" * 9 + "0" * 9 + "1" * 9, "11110" * 9, "110" * 12, "1" * 5, "1" * 4 + "0", "1" * 9, "1" * 8 + "0"]
+    patterns += ["".join(rng.choice(["0", "1"], n, p=[q, 1 - q])) for n in (9, 10, 11, 13, 16, 24, 40, 59) for q in (0.1, 0.2, 0.25, 0.3, 0.4) for _ in range(6)]
+    for k, pattern in enumerate(patterns):
+        item = [f"w{x}" for x in rng.integers(0, 10**6, len(pattern))]
+        items.append(item)
+        texts.append(["before", "it", *(w if c == "1" else f"o{k}x{j}" for j, (w, c) in enumerate(zip(item, pattern))), "after"])
+    got = {(r, i): same for r, i, _, _, same in decontam.search(pa.array(map(" ".join, texts)), decontam.index(list(range(len(items))), list(map(" ".join, items))), 10, 0.75)}
+    want = {(k, k): n for k in range(len(items)) if (n := _overlapping(texts[k], items[k], 10, 0.75))}
+    assert got == want and 80 < len(want) < len(items) - 20
+
+
 def test_hashes_agree_across_chunks():
     from tidemark.llm import textops
 

@@ -3,8 +3,8 @@
 A mask picks some positions of a stretch of words and ignores the others, so a hash of the
 picked words survives substitutions at ignored places. Hashes of all stretches of all
 benchmark items are joined with those of all stretches of the documents; around each hit
-item and document are aligned word by word, and the overlap is the best stretch of the
-alignment, where an equal word counts one and a substituted word costs one.
+item and document are aligned word by word, and the overlap is the stretch of the alignment
+with the most equal words among those whose share of equal words is ``least_share`` or more.
 
 The masks together hit every overlap of ten equal words or more at a share of 0.75 or more.
 An overlap of 20 equal words or more splits into two of ten or more, one of which has the
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -85,13 +86,16 @@ def index(ids: list[int], texts: list[str | None], masks=MASKS, least_words: int
     return Index(np.array(ids, np.int64), w.hash, w.bounds, masks, seed, item[order], offset[order], flags)
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and number of equal words of the alignment's best stretch."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -1))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+def best_stretch(equal: np.ndarray, least_share: float) -> tuple[int, int, int]:
+    """Start, end and number of equal words of the stretch with the most of them at the share or more, the shortest and first of such."""
+    share = Fraction(least_share).limit_denominator(10**6)
+    weight = np.where(equal, share.denominator - share.numerator, -share.numerator)
+    total = np.concatenate([[0], np.cumsum(weight)])  # a stretch has the share if its weights sum up to 0 or more
+    same = np.concatenate([[0], np.cumsum(equal)])
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)  # the longest such stretch up to each end
+    end = int(np.argmax(same - same[start]))
+    inside = start[end] + np.flatnonzero(equal[start[end] : end])
+    return (int(inside[0]), int(inside[-1]) + 1, len(inside)) if len(inside) else (0, 0, 0)
 
 
 def search(texts: pa.Array, ix: Index, least_words: int, least_share: float) -> list[tuple[int, int, int, int, int]]:
@@ -115,8 +119,8 @@ def search(texts: pa.Array, ix: Index, least_words: int, least_share: float) ->
         a, b = ix.bounds[item], ix.bounds[item + 1]
         p, q = w.bounds[row], w.bounds[row + 1]
         lo, hi = max(0, shift), min(q - p, shift + b - a)
-        s, e, same = best_stretch(w.hash[p + lo : p + hi] == ix.hashes[a + lo - shift : a + hi - shift])
-        if same >= min(least_words, b - a) and same >= least_share * (e - s):
+        s, e, same = best_stretch(w.hash[p + lo : p + hi] == ix.hashes[a + lo - shift : a + hi - shift], least_share)
+        if same >= min(least_words, b - a):
             found = (same, -(lo + s), e - s)
             if found > best.get((row, item), (0,)):
                 best[row, item] = found
