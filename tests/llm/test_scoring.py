@@ -74,6 +74,43 @@ def test_score_carries_state_over_windows():
     assert np.allclose(model.score(word, ending, bounds, 7), model.score(word, ending, bounds, 1000), atol=1e-3)
 
 
+def test_model_learns_from_rows_outside_the_sample(docs):
+    rng = np.random.default_rng(21)
+    text = lambda: " ".join(f"w{(s + j) % 40:02d}" for s in [int(rng.integers(0, 40))] for j in range(100))
+    rows = docs([(i, text()) for i in range(2000)]).repartition(2)
+    got = [r for r in gru.score(rows, words=60, classes=8, most_docs=0).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert len(got) > 100 and gain > 0.3  # log10 a token; the words are equally frequent, so counts alone say nothing
+
+
+def test_vocabulary_comes_from_all_training_tokens(spark, docs):
+    table = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.collect()][:120]
+    tokens = {i: [*words(t), 0] for i, t in rows}
+    c = Counter(w for i, ws in tokens.items() if not _held(i, 10) for w in ws)
+    total, distinct, most = sum(c.values()), len(c), 200
+    least = sorted(c.values(), reverse=True)[most - 1]
+    inside = sum(n for n in c.values() if n > least) + least * (most - sum(n > least for n in c.values()))
+    tail = lambda w: math.log10((total - inside) / total * (c[w] + 0.1) / (total - inside + 0.1 * (distinct - most + 1)))
+    surely = lambda ws: sum(math.log10(c[w] / total) if c[w] > least else tail(w) for w in ws if c[w] != least)
+    for most_docs in (0, 10, 1000):
+        got = gru.score(docs(rows), head_words=300, words=most, most_docs=most_docs, rounds=0).collect()
+        if most_docs == 0:  # the untrained model says what the counts say; words with the last count may be in or out
+            for r in got:
+                ties = sum(c[w] == least for w in tokens[r.doc_id])
+                either = sorted([math.log10(least / total), tail(next(w for w in c if c[w] == least))])
+                rest = r.score - surely(tokens[r.doc_id])
+                assert ties * either[0] - 1e-2 <= rest <= ties * either[1] + 1e-2
+        assert all(math.isfinite(r.score) for r in got)
+
+
+def test_hashes_unmix():
+    from tidemark.llm import textops
+
+    h = np.random.default_rng(3).integers(0, 2**63, 1000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    assert (textops.unmix(textops.mix(h)) == h).all()
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)

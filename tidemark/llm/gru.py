@@ -2,9 +2,13 @@
 
 Tokens are words (A-Z lower-cased) and one end per document. Two sets of statistics come
 from every training document: exact counts of all tokens, and from them the model's
-vocabulary, classes and output biases. The recurrent weights are fitted by truncated
-backpropagation on a bounded sample of at most ``most_docs`` training documents; the
-state is carried across windows, in training and in scoring.
+vocabulary (the commonest words of all training tokens), classes and output biases; and
+the recurrent, class and word weights, by truncated backpropagation. They start from a fit
+on the driver to a sample of at most ``most_docs`` documents. Then every training row is
+learned from once: in each of ``rounds`` rounds a replica per partition goes on from the
+common weights over its rows of that round, and the replicas are averaged by their tokens.
+The weights so depend on how the input is split. The state is carried across windows, in
+training and in scoring.
 
 The output is factored: a class given the state, then a word given class and state. The
 last class is the tail: all other words, known or not, share it by their counts, so the
@@ -22,6 +26,7 @@ ignored.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +42,8 @@ U = textops.U
 END = U(0x5851F42D4C957F2D)
 #: Buckets of word endings, through which words outside the model's vocabulary enter it.
 ENDINGS = 256
+#: Tokens that a replica lays out at once and its parallel streams at most; parameters travel in blocks of so many.
+LEARN, STREAMS, BLOCK = 1 << 20, 256, 1600
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,8 +138,11 @@ class Model:
         c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
         return h + z * (c - h), z, r, c, a[:, 2 * n :]
 
-    def output(self, h: np.ndarray, word: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each word (of the tail, for words outside) given states."""
+    def output(self, h: np.ndarray, word: np.ndarray, grads: dict | None = None, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of each word (of the tail, for words outside) given states.
+
+        Words that aren't ``real`` are of the tail and have no gradient.
+        """
         p, v = self.p, self.vocab
         cls = np.where(word >= 0, v.word_class[np.maximum(word, 0)] if len(v.hashes) else 0, v.classes - 1)
         s = h @ p["cw"] + p["cb"]
@@ -145,6 +155,8 @@ class Model:
         if grads is not None:
             d = e / total[:, None]
             d[at, cls] -= 1
+            if real is not None:
+                d *= real[:, None]
             grads["cw"] += h.T @ d
             grads["cb"] += d.sum(0)
             dh = d @ p["cw"].T
@@ -170,37 +182,45 @@ class Model:
                 dh[rows] += d @ p["ww"][lo:hi]
         return logp, dh
 
-    def train(self, word: np.ndarray, ending: np.ndarray, bounds: np.ndarray, streams: int = 64, window: int = 24, rate: float = 0.01, epochs: int = 2) -> list[float]:
-        """Truncated backpropagation with Adam over documents laid end to end in parallel streams."""
-        if len(word) < 2 * streams:
+    def train(self, word: np.ndarray, ending: np.ndarray, bounds: np.ndarray, streams: int = 64, window: int = 24, rate: float = 0.01, epochs: int = 2, state: dict | None = None) -> list[float]:
+        """Truncated backpropagation with Adam over documents laid end to end in parallel streams.
+
+        With a ``state``, Adam's moments and steps go on from it, at one rate; else the rate falls.
+        """
+        if not len(word):
             return []
-        length = len(word) // streams
-        w = word[: length * streams].reshape(streams, length).T
-        inp = self.inputs(word, ending)[: length * streams].reshape(streams, length).T
+        streams = max(1, min(streams, len(word) // 2))
+        length = -(-len(word) // streams)
+        lay = lambda x, fill: np.append(x, np.full(length * streams - len(x), fill, x.dtype)).reshape(streams, length).T
+        w, inp, real = lay(word, -1), lay(self.inputs(word, ending), 0), lay(np.ones(len(word), np.float32), 0)
         start = np.zeros(len(word), bool)
         start[bounds[:-1]] = True
-        start = start[: length * streams].reshape(streams, length).T
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        losses, t, n = [], 0, self.h
-        steps = max(1, epochs * (length // window))
+        start = lay(start, False)
+        decays, state = state is None, {} if state is None else state
+        moments = state.setdefault("moments", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()})
+        losses, t, n = [], state.get("t", 0), self.h
+        steps = epochs * -(-length // window)
         for _ in range(epochs):
             h = np.zeros((streams, n), np.float32)
-            for lo in range(0, length - window + 1, window):
+            for lo in range(0, length, window):
                 t += 1
                 states, kept = [], []
-                for i in range(lo, lo + window):
+                hi = min(lo + window, length)
+                for i in range(lo, hi):
                     h = np.where(start[i][:, None], np.float32(0), h)
                     states.append(h)
                     h2, z, r, c, a = self.step(self.p["x"][inp[i]], h)
                     kept.append((h, z, r, c, a))
                     h = h2
                 g = {k: np.zeros_like(v) for k, v in self.p.items()}
-                logp, dout = self.output(np.concatenate(states), w[lo : lo + window].ravel(), g)
-                losses.append(-float(logp.mean()))
-                dout = dout.reshape(window, streams, n)
+                here = real[lo:hi].ravel()
+                size = float(here.sum())
+                logp, dout = self.output(np.concatenate(states), w[lo:hi].ravel(), g, here)
+                losses.append(-float(logp @ here) / size)
+                dout = dout.reshape(hi - lo, streams, n)
                 dh = np.zeros((streams, n), np.float32)
-                dx = np.empty((window, streams, 3 * n), np.float32)
-                for k in range(window - 1, -1, -1):
+                dx = np.empty((hi - lo, streams, 3 * n), np.float32)
+                for k in range(hi - lo - 1, -1, -1):
                     h0, z, r, c, a = kept[k]
                     dc = dh * z * (1 - c * c)
                     dz = dh * (c - h0) * z * (1 - z)
@@ -210,15 +230,17 @@ class Model:
                     dx[k] = np.concatenate([dz, dr, dc], 1)
                     dh = dh * (1 - z) + da @ self.p["u"].T + dout[k]
                     dh = np.where(start[lo + k][:, None], np.float32(0), dh)
-                np.add.at(g["x"], inp[lo : lo + window].ravel(), dx.reshape(-1, 3 * n))
-                pace = rate * (1 - (t - 1) / steps) ** 0.5
+                order, cut = exchange.groups(inp[lo:hi].ravel())
+                g["x"][inp[lo:hi].ravel()[order[cut]]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], cut)
+                pace = rate * (1 - (t - 1) / steps) ** 0.5 if decays else rate
                 for k, grad in g.items():
-                    grad /= streams * window
+                    grad /= size
                     np.clip(grad, -0.1, 0.1, out=grad)
                     m1, m2 = moments[k]
                     m1 += 0.1 * (grad - m1)
                     m2 += 0.01 * (grad * grad - m2)
                     self.p[k] -= (pace * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+        state["t"] = t
         return losses
 
     def score(self, word: np.ndarray, ending: np.ndarray, bounds: np.ndarray, window: int = 64) -> np.ndarray:
@@ -276,11 +298,12 @@ def _fit_rows(docs: DataFrame, most_docs: int) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(h), np.concatenate(tail).astype(np.int64), np.cumsum([0, *map(len, h)])
 
 
-def count(docs: DataFrame, head: np.ndarray, parts: int) -> DataFrame:
+def count(docs: DataFrame, head: np.ndarray, parts: int, words: int) -> DataFrame:
     """One shuffle that counts every token and sums up each text's words outside the head.
 
     kind 0: key = tid, a = sum of log10(count + 0.1), b = known, c = number of such words;
-    kind 1: key = head hash, b = its count; kind 2: b = training tokens, c = distinct ones.
+    kind 1: key = head hash, b = its count; kind 2: b = training tokens, c = distinct ones;
+    kind 3: key = hash of another word, b = its count, the ``words`` commonest of each partition.
     """
     kinds = ["u8", "i8", "i8", "i8"]
     shared = docs.sparkSession.sparkContext.broadcast(head)
@@ -328,6 +351,10 @@ def count(docs: DataFrame, head: np.ndarray, parts: int) -> DataFrame:
         mine = np.flatnonzero(n == 0)
         keys, first = np.unique(key[mine], return_index=True)
         yield _rows(1, keys.view(np.int64), np.zeros(len(keys)), each[mine[first]], np.zeros(len(keys), np.int64))
+        other = np.flatnonzero((n[order[cut]] > 0) & (c > 0))
+        keys = key[order[cut[other]]].view(np.int64)
+        top = np.lexsort((keys, -c[other]))[:words]
+        yield _rows(3, keys[top], np.zeros(len(top)), c[other[top]], np.zeros(len(top), np.int64))
         yield _rows(2, np.zeros(1, np.int64), np.zeros(1), np.array([c.sum()]), np.array([(c > 0).sum()]))
 
     blobs = docs.select("tid", "held_out", "text").mapInArrow(scan, exchange.BLOB)
@@ -338,7 +365,7 @@ def _rows(kind: int, key, a, b, c) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "key", "a", "b", "c"])
 
 
-def score(docs: DataFrame, folds: int = 10, head_words: int = 1 << 16, words: int = 4096, classes: int = 64, hidden: int = 24, most_docs: int = 1500, bytes_each: int = 4 << 20) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, head_words: int = 1 << 16, words: int = 4096, classes: int = 64, hidden: int = 24, most_docs: int = 1500, bytes_each: int = 4 << 20, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     parts = parts_for(docs, bytes_each)
     held = F.coalesce(sample.bucket(F.col("doc_id"), folds) == 0, F.lit(False))
@@ -346,15 +373,20 @@ def score(docs: DataFrame, folds: int = 10, head_words: int = 1 << 16, words: in
     h, tail, bounds = _fit_rows(docs, most_docs)
     seen, times = np.unique(h, return_counts=True)
     head = np.sort(seen[np.lexsort((seen, -times))[:head_words]])
-    counted = written(count(docs, head, parts), "lm-counts")
+    counted = written(count(docs, head, parts, words), "lm-counts")
     totals = counted.filter("kind = 2").agg(F.sum("b").alias("n"), F.sum("c").alias("v")).first()
     by_key = {r.key: r.b for r in counted.filter("kind = 1").select("key", "b").collect()}  # head words at most
     counts = np.array([by_key.get(k, 0) for k in textops.mix(head).view(np.int64).tolist()], np.int64)
     stats = Statistics(totals.n or 0, totals.v or 0, head, counts)
-    vocab = vocabulary(head, counts, words, classes)
+    others = counted.filter("kind = 3").orderBy(F.desc("b"), "key").limit(words).select("key", "b").collect()
+    late = textops.unmix(np.array([r.key for r in others], np.int64).view(U))
+    vocab = vocabulary(np.concatenate([head, late]), np.concatenate([counts, np.array([r.b for r in others], np.int64)]), words, classes)
     in_tail = stats.total - int(vocab.counts.sum())
     model = Model(vocab, in_tail, hidden)
     model.train(vocab.find(h), tail, bounds)
+    for r in range(rounds):
+        mine = docs.filter(~held).filter(F.pmod(F.xxhash64(F.lit("round"), "doc_id", "tid"), F.lit(rounds)) == r)
+        model.p = _averaged(mine, model, 0.004 / (1 + r))
     scored = written(_score_rows(docs, stats, model), "lm-scores")
     rest = counted.filter("kind = 0").groupBy(F.col("key").alias("tid")).agg(F.sum("a").alias("rest_log"), F.sum("b").alias("rest_known"))
     whole = np.log10(stats.total + 0.1 * (stats.distinct + 1))
@@ -367,6 +399,55 @@ def score(docs: DataFrame, folds: int = 10, head_words: int = 1 << 16, words: in
     )
 
 
+def _averaged(docs: DataFrame, model: Model, rate: float) -> dict[str, np.ndarray]:
+    """The model's parameters after a replica per partition has learned from its rows, averaged by tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, state, held, total = shared.value, {}, [], 0
+        model = copy.copy(common)
+        model.p = {k: v.copy() for k, v in common.p.items()}
+
+        def learn() -> int:
+            word, tail = (np.concatenate([x[i] for x in held]) for i in range(2))
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate([x[2] for x in held]))])
+            held.clear()
+            model.train(word, tail.astype(np.int64), bounds, streams=max(8, min(STREAMS, len(word) // 1000)), rate=rate, epochs=1, state=state)
+            return len(word)
+
+        for batch in batches:
+            for part in textops.chunks(batch, "text"):
+                h, tail, bounds = tokens(part.column(0))
+                held.append((model.vocab.find(h).astype(np.int32), tail.astype(np.uint8), np.diff(bounds)))
+                if sum(len(x[0]) for x in held) >= LEARN:
+                    total += learn()
+        total += learn() if held else 0
+        if total:
+            flat = np.concatenate([model.p[k].ravel() for k in sorted(model.p)])
+            data = [flat[a : a + BLOCK].tobytes() for a in range(0, len(flat), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(data), dtype=np.int32)), pa.array(np.full(len(data), total)), pa.array(data, pa.binary())], ["block", "n", "data"])
+        textops.release()
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for block, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                had, so_far = sums.get(block, (0, 0.0))
+                sums[block] = had + n, so_far + n * np.frombuffer(data.as_buffer(), np.float32).astype(np.float64)
+        data = [(x / n).astype(np.float32).tobytes() for n, x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["block", "data"])
+
+    blobs = docs.select("text").mapInArrow(run, "block int, n long, data binary")
+    rows = sorted(written(blobs.repartitionById(16, blobs.block % 16).mapInArrow(add_up, "block int, data binary"), "lm-weights").collect())
+    if not rows:
+        return model.p
+    flat, out, at = np.frombuffer(b"".join(r.data for r in rows), np.float32), {}, 0
+    for k in sorted(model.p):
+        out[k] = flat[at : at + model.p[k].size].reshape(model.p[k].shape).copy()
+        at += model.p[k].size
+    return out
+
+
 def _score_rows(docs: DataFrame, stats: Statistics, model: Model) -> DataFrame:
     """Per row: what the head and the model say; the words outside the head are added by the caller."""
     shared = docs.sparkSession.sparkContext.broadcast((stats, model))
@@ -386,11 +467,12 @@ def _score_rows(docs: DataFrame, stats: Statistics, model: Model) -> DataFrame:
                 k, word, tail = (np.concatenate([g[i] for g in got]) for i in range(3))
                 bounds = np.concatenate([[0], *(g[3] for g in got)])
                 doc = np.repeat(np.arange(group.num_rows), np.diff(bounds))
-                add = lambda at, w=None: np.bincount(doc[at], weights=w, minlength=group.num_rows)
+                add = lambda at, w=None: np.bincount(doc[at], weights=w, minlength=group.num_rows).astype(np.int64 if w is None else np.float64)
                 inside, outside = np.flatnonzero(k >= 0), np.flatnonzero((k >= 0) & (word < 0))
+                late = np.flatnonzero((k < 0) & (word >= 0))  # the caller counts these among the tail's
                 values = [
                     np.diff(bounds), add(np.flatnonzero((k >= 0) & (stats.counts[np.maximum(k, 0)] > 0)) if len(stats.head) else inside), add(inside, logs[k[inside]]),
-                    add(outside, logs[k[outside]]), add(np.flatnonzero(word < 0)), model.score(word, tail.astype(np.int64), bounds) / np.log(10),
+                    add(outside, logs[k[outside]]) - add(late, np.log10(model.vocab.counts[word[late]] + 0.1)), add(np.flatnonzero(word < 0)), model.score(word, tail.astype(np.int64), bounds) / np.log(10),
                 ]
                 yield pa.RecordBatch.from_arrays([*(group.column(i) for i in range(3)), *map(pa.array, values)], names)
 

@@ -63,6 +63,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The inverse of ``mix``."""
+    h = h ^ (h >> U(31)) ^ (h >> U(62))
+    h *= U(pow(0x94D049BB133111EB, -1, 2**64))
+    h ^= (h >> U(27)) ^ (h >> U(54))
+    h *= U(pow(0xBF58476D1CE4E5B9, -1, 2**64))
+    h ^= (h >> U(30)) ^ (h >> U(60))
+    return h
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each; a longer text is alone, whole."""
     _, offsets = raw(batch.column(batch.schema.get_field_index(column)))
