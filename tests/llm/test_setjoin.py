@@ -58,6 +58,15 @@ def test_deduplicate(docs):
     assert setjoin.deduplicate(docs([])).count() == 0
 
 
+def test_deduplicate_keeps_unlinked_texts_of_one_id(docs):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(5, text("a")), (5, text("b")), (6, text("b") + " z"), (5, text("a")), (None, text("c")), (None, text("c") + " z"), (None, text("c")), (None, text("d")), (None, text("b"))]
+    got = [(r.doc_id, r.text) for r in setjoin.deduplicate(docs(rows)).collect()]
+    assert sorted(t for i, t in got if i is not None) == [text("a"), text("b")] and all(i in (5, None) for i, _ in got)
+    left = sorted(t for i, t in got if i is None)
+    assert len(left) == 2 and left[0] in (text("c"), text("c") + " z") and left[1] == text("d")
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (10, 9), (9, 10), (7, 7), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (25, 20)], "a long, b long")
     got = {r.node: r.component for r in graph.components(e).collect()}

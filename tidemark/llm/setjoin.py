@@ -352,7 +352,7 @@ def _across(members: DataFrame, parts: int, share: Share) -> DataFrame:
 
 
 def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_each: int = 2 << 20) -> DataFrame:
-    """doc_id, tid, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, tid, n_shingles, component_id of every row of ``docs`` (doc_id, text), and its component's own key (null without a set)."""
     parts = parts_for(docs, bytes_each)
     docs = docs.select("doc_id", "text").withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
     prof = written(profiles(docs, shingle), "setjoin-profiles")
@@ -380,24 +380,26 @@ def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_ea
     final = graph.components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     mapped = classes.select("h1", "h2", "rep").join(final.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
     lowest = mapped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = mapped.join(lowest, "component").select("h1", "h2", "component_id")
-    linked = some.select("doc_id", "tid", "n", "h1", "h2").join(by_class, ["h1", "h2"]).select("doc_id", "tid", F.col("n").alias("n_shingles"), "component_id")
-    alone = prof.filter("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    by_class = mapped.join(lowest, "component").select("h1", "h2", "component", "component_id")
+    linked = some.select("doc_id", "tid", "n", "h1", "h2").join(by_class, ["h1", "h2"]).select("doc_id", "tid", F.col("n").alias("n_shingles"), "component_id", "component")
+    alone = prof.filter("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     return linked.unionByName(alone)
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """The documents with one left of each component: the one of the least id.
 
-    Of rows with that id, the one with the least text hash stays, once. Rows without an
-    id go only where they are linked with a row that has one; rows without a set stay.
+    Of the component's rows with that id, the one with the least text hash stays, once. Rows
+    without an id come behind those with one; rows without a set stay. Components of
+    different texts under one id are judged apart.
     Rows that surely stay are neither shuffled nor joined.
     """
     found = written(link(docs, **how), "setjoin-links")
     sure = F.col("n_shingles") == 0
-    best = found.filter((F.col("doc_id") == F.col("component_id")) & ~sure).groupBy("component_id").agg(F.min("tid").alias("best"))
-    judged = found.filter(~sure & F.col("component_id").isNotNull()).join(best, "component_id")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tid") == F.col("best"))
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = found.filter(least & ~sure).groupBy("component").agg(F.min("tid").alias("best"))
+    judged = found.filter(~sure).join(best, "component")
+    stays = least & (F.col("tid") == F.col("best"))
     marks = judged.groupBy("doc_id", "tid").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("copies")).filter("not stays or copies > 1")
     marks = written(marks.select(F.col("doc_id").alias("__id"), F.col("tid").alias("__mark"), F.col("stays").alias("__stays")), "setjoin-marks")
     keyed = idfilter.flagged(docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit("")))), marks.select(F.col("__mark").alias("tid")), "__text")
