@@ -176,6 +176,19 @@ def test_decontamination(spark, docs):
     assert decontam.overlaps(docs(rows), bench.limit(0)).count() == 0 and decontam.clean(docs([]), bench).count() == 0
 
 
+def test_clean_is_the_same_for_any_number_of_blocks(spark, docs, monkeypatch):
+    rng = np.random.default_rng(17)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 5000, n))
+    items = [(i, text(30)) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, items[3][1]), (1, text(50)), (None, items[4][1]), (None, text(50)), (2, items[5][1]), (3, None)]
+    table, want = docs(rows, item_id=1), sorted([rows[1], rows[3], rows[5]], key=repr)
+    for size in (decontam.BLOCK_BYTES, 1000):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        got = decontam.clean(table, bench)
+        assert got.columns == table.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == want
+
+
 def test_masks_hit_every_overlap():
     masks = [(len(m), sum(1 << i for i, c in enumerate(m) if c == "x")) for m in decontam.MASKS]
     for equal in range(10, 20):

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops
+from tidemark.llm.scratch import written
 
 U = textops.U
 SEPARATORS = textops.NON_LETTERS.copy()
@@ -132,16 +133,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least
 
     doc_id, item_id, first_word and n_words of the overlap in the document, n_equal of them.
     """
+    out = None
+    for ix in _blocks(benchmark, masks, least_words):
+        found = _overlaps(docs, ix, least_words, least_share)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _blocks(benchmark: DataFrame, masks, least_words: int) -> Iterator[Index]:
+    """The benchmark's index, in blocks of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
-    out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         rows = part.collect()  # one block of bounded size
-        found = _overlaps(docs, index([r.item_id for r in rows], [r.text for r in rows], masks, least_words), least_words, least_share)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield index([r.item_id for r in rows], [r.text for r in rows], masks, least_words)
 
 
 def _overlaps(docs: DataFrame, ix: Index, least_words: int, least_share: float) -> DataFrame:
@@ -158,15 +165,18 @@ def _overlaps(docs: DataFrame, ix: Index, least_words: int, least_share: float)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, n_equal long")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents without any overlap, columns as they are. Narrow: texts aren't shuffled."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size >= BLOCK_BYTES:
-        hit = overlaps(docs, benchmark, **how).select("doc_id").distinct()
-        return docs.join(hit, "doc_id", "left_anti")
-    rows = benchmark.filter("text is not null").collect()  # one block of bounded size
-    least_words, least_share = how.get("least_words", 10), how.get("least_share", 0.75)
-    ix = index([r.item_id for r in rows], [r.text for r in rows], how.get("masks", MASKS), least_words)
+def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least_share: float = 0.75, masks=MASKS) -> DataFrame:
+    """The documents without any overlap, row by row, columns as they are. Texts aren't shuffled.
+
+    What a block of the benchmark leaves is written before the next, so that a worker holds one block.
+    """
+    out = None
+    for ix in _blocks(benchmark, masks, least_words):
+        out = _clean(docs if out is None else written(out, "decontam-clean"), ix, least_words, least_share)
+    return out
+
+
+def _clean(docs: DataFrame, ix: Index, least_words: int, least_share: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ix)
     names, at = docs.columns, docs.columns.index("text")
 
