@@ -72,3 +72,10 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(e).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 9, 7: 7, **{i: 20 for i in range(20, 26)}}
     assert graph.components(e.limit(0)).count() == 0
+
+
+def test_long_words_that_differ(docs):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "".join("AB"[b] for b in bits)), (4, "x" * 70_000), (5, "x" * 70_001)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in setjoin.link(docs(rows), 3, setjoin.Share(9, 10)).collect())
+    assert got == jaccard_groups(rows, 3, 9, 10)

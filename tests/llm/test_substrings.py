@@ -25,3 +25,24 @@ def test_remove_keeps_columns(docs):
     got = {r.doc_id: r.text for r in substrings.remove(docs(rows, tid=5, n_removed="n", kept="k", cand=1), 50).collect()}
     assert got == {1: "one two", 2: "three", 3: "clean   text", 4: None}
     assert substrings.remove(docs([], tid=1), 50).count() == 0
+
+
+def _opposites(size):
+    """Two different words of ``size`` letters on which polynomial hashes modulo powers of two agree."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [64, 65, 1024, 8192])
+def test_long_words_that_differ(docs, size):
+    x, y = _opposites(size)
+    shared = " ".join(f"s{i}" for i in range(34))
+    rows = [(1, f"{shared} {x}"), (2, f"{shared} {y}"), (3, f"{shared} {x} {y}"), (4, " ".join(_opposites(64)[0]))]
+    for some in (rows[:2], rows):
+        assert sorted(map(tuple, substrings.digests(docs(some), 35).collect()), key=repr) == cut_repeats(some, 35)
+
+
+def test_long_runs_of_words_that_mirror_each_other(docs):
+    x, y = (" ".join(w) for w in _opposites(2048))
+    rows = [(1, x), (2, y), (3, "z " + x)]
+    assert sorted(map(tuple, substrings.digests(docs(rows), 1500).collect()), key=repr) == cut_repeats(rows, 1500)

@@ -54,7 +54,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(w.hash)) + w.doc
     h, tail = np.full(bounds[-1], END), np.zeros(bounds[-1], np.int64)
     h[place] = w.hash
-    tail[place] = (textops.spans(w.buf, np.maximum(w.start, w.end - 2), w.end) % U(ENDINGS)).astype(np.int64)
+    tail[place] = (textops.endings(w, 2) % U(ENDINGS)).astype(np.int64)
     return h, tail, bounds
 
 

@@ -32,7 +32,7 @@ def _grams(part: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all unigrams and bigrams, and their documents."""
     w = textops.words(part, lower=True)
     at, doc = textops.window_starts(w.bounds, 2)
-    pairs = textops.windows(textops.word_sums(w.hash), at, 2)
+    pairs = textops.windows(w.hash, at, 2)
     n = textops.U(buckets)
     return np.concatenate([w.hash % n, pairs % n]).astype(np.int64), np.concatenate([w.doc, doc])
 

@@ -50,7 +50,7 @@ def _running(x: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(w: textops.Words, sums: np.ndarray, length: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(w: textops.Words, length: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, document, hash) of stretches of ``short`` words that are least in some window."""
     starts, doc = textops.window_starts(w.bounds, length)
     total = len(w.hash)
@@ -58,7 +58,7 @@ def anchors(w: textops.Words, sums: np.ndarray, length: int, short: int) -> tupl
         return starts, doc, np.zeros(0, U)
     h = np.full(total, ~U(0), U)
     at = np.arange(total - short + 1)
-    h[at] = textops.windows(sums, at, short) | U(1)
+    h[at] = textops.windows(w.hash, at, short) | U(1)
     width = length - short + 1
     least = np.zeros(total + width - 1, U)  # index i + width - 1: so that a backward look has room
     low = _running(h, width, np.minimum)
@@ -99,14 +99,13 @@ def _candidates(texts: DataFrame, length: int, parts: int, blocks: int) -> DataF
             batch = batch.take(pa.array(_fresh(batch.column(0).to_pylist(), seen), pa.int32()))
             for part in textops.chunks(batch, "text"):
                 w = textops.words(part.column(1))
-                sums = textops.word_sums(w.hash)
-                pos, doc, h = anchors(w, sums, length, short)
+                pos, doc, h = anchors(w, length, short)
                 n, here = w.counts[doc], pos - w.bounds[doc]
                 ahead, back = np.zeros(len(pos), U), np.zeros(len(pos), U)
                 ok = here + 2 * short <= n
-                ahead[ok] = textops.windows(sums, pos[ok], 2 * short) | U(1)
+                ahead[ok] = textops.windows(w.hash, pos[ok], 2 * short) | U(1)
                 ok = here >= short
-                back[ok] = textops.windows(sums, pos[ok] - short, 2 * short) | U(1)
+                back[ok] = textops.windows(w.hash, pos[ok] - short, 2 * short) | U(1)
                 tid = np.array(part.column(0), np.int64)[doc]
                 yield from out.add(textops.mix(h), tid, here, ahead, back)
         yield from out.flush()
@@ -205,8 +204,8 @@ def _find(blocks: DataFrame, length: int, parts: int) -> DataFrame:
         for batch in batches:
             for k, src in enumerate(batch.column(0).to_pylist()):
                 w, starts, _ = _last_windows(batch.column(1)[k].values, batch.column(2)[k].as_py(), length)
-                key = textops.windows(textops.word_sums(w.hash), starts, length)
-                check = (textops.windows(textops.word_sums(w.hash ^ _CHECK_SALT), starts, length) >> U(32)).astype(np.uint32)
+                key = textops.windows(w.hash, starts, length)
+                check = (textops.windows(w.hash ^ _CHECK_SALT, starts, length) >> U(32)).astype(np.uint32)
                 pid = (key % U(parts)).astype(np.int32)
                 order = np.argsort(pid, kind="stable")
                 cut = np.searchsorted(pid[order], np.arange(parts + 1))
@@ -250,7 +249,7 @@ def _cut(blocks: DataFrame, masks: DataFrame, length: int, parts: int) -> DataFr
             for k in range(batch.num_rows):
                 tids, mults, poss = (batch.column(c)[k].as_py() for c in (0, 1, 3))
                 w, starts, doc = _last_windows(batch.column(2)[k].values, poss, length)
-                key = textops.windows(textops.word_sums(w.hash), starts, length)
+                key = textops.windows(w.hash, starts, length)
                 pid = (key % U(parts)).astype(np.int32)
                 order = np.argsort(pid, kind="stable")
                 cut = np.searchsorted(pid[order], np.arange(parts + 1))

@@ -1,8 +1,10 @@
 """Vectorized text primitives on Arrow string buffers (numpy, no per-word Python).
 
-Words are maximal runs of bytes outside a separator set; a word's hash is a polynomial
-in its bytes modulo 2**64, read off one prefix sum over the whole buffer, then mixed.
-A window's hash is the same construction over word hashes.
+Words are maximal runs of bytes outside a separator set. Each pair of a place in the word
+and a byte has its own random number, and a word's hash is the mixed sum of its pairs' numbers,
+read off one prefix sum over the whole buffer; words of over PLACES bytes are hashed one by one.
+A window's hash mixes the hashes of its two halves (overlapping, where the length isn't a power
+of two), so that no arrangement of the same words cancels out.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 try:
     _libc = ctypes.CDLL("libc.so.6")
@@ -21,9 +24,10 @@ except OSError:  # another system's library
 
 U = np.uint64
 CHUNK_BYTES = 1 << 19
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Places within a word that have numbers of their own.
+PLACES = 64
+_NUMBERS = np.random.default_rng(20240229).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
+_LEFT, _OUTER = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 
 #: The white space that separates words: x20 and x09 to x0D.
 SPACES = np.zeros(256, bool)
@@ -35,24 +39,6 @@ NON_LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n (kept between calls)."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        inverse = pow(base, -1, 2**64)
-        both = []
-        for b in (base, inverse):
-            a = np.full(size, b, U)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        have = _powers[base] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (splitmix)."""
     h = h ^ (h >> U(30))
@@ -107,13 +93,14 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a chunk in order: byte spans, mixed hashes, and each document's word range."""
+    """Words of a chunk in order: byte spans, hashes, each document's word range, and the prefix sums."""
 
     buf: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     bounds: np.ndarray
+    sums: np.ndarray
 
     @property
     def doc(self) -> np.ndarray:
@@ -123,6 +110,10 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def prefixes(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the first ``n`` bytes (PLACES at most) of the words ``at``."""
+        return mix((self.sums[self.start[at] + n] - self.sums[self.start[at]]) ^ U(n))
+
 
 def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = SPACES) -> Words:
     buf, offsets = raw(texts)
@@ -131,7 +122,7 @@ def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = SPACES)
     n = len(buf)
     if not n:
         empty = np.zeros(0, np.int64)
-        return Words(buf, empty, empty, np.zeros(0, U), np.zeros(len(offsets), np.int64))
+        return Words(buf, empty, empty, np.zeros(0, U), np.zeros(len(offsets), np.int64), np.zeros(1, U))
     inside = np.empty(n + 1, bool)
     inside[:n] = ~separators[buf]
     inside[n] = False
@@ -142,34 +133,33 @@ def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = SPACES)
     last = inside[:n] & ~inside[1:]
     last[cut - 1] = inside[cut - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Words(buf, start, end, spans(buf, start, end), np.searchsorted(start, offsets))
-
-
-def byte_sums(buf: np.ndarray) -> np.ndarray:
-    up, _ = powers(_BASE, len(buf))
-    sums = np.zeros(len(buf) + 1, U)
-    np.cumsum(_BYTE[buf] * up, out=sums[1:])
-    return sums
-
-
-def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """Mixed hashes of byte spans."""
-    sums = byte_sums(buf) if sums is None else sums
-    _, down = powers(_BASE, len(buf) + 1)
-    return mix((sums[end] - sums[start]) * down[start])
-
-
-def word_sums(h: np.ndarray) -> np.ndarray:
-    up, _ = powers(_WORD_BASE, len(h))
-    sums = np.zeros(len(h) + 1, U)
-    np.cumsum(h * up, out=sums[1:])
-    return sums
-
-
-def windows(sums: np.ndarray, at: np.ndarray, length: int | np.ndarray) -> np.ndarray:
-    """Mixed hashes of the windows of ``length`` words that start at ``at``."""
-    _, down = powers(_WORD_BASE, len(sums) + 1)
-    return mix((sums[at + length] - sums[at]) * down[at])
+    place = np.arange(n, dtype=np.int32)
+    place -= np.maximum.accumulate(np.where(first, place, 0))
+    np.minimum(place, PLACES - 1, out=place)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(_NUMBERS[(place << 8) | buf], out=sums[1:])
+    h = mix(sums[end] - sums[start])
+    for i in np.flatnonzero(end - start > PLACES).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]].tobytes())
+    return Words(buf, start, end, h, np.searchsorted(start, offsets), sums)
+
+
+def endings(w: Words, n: int) -> np.ndarray:
+    """Hashes of the last ``n`` bytes of each word (of the whole word, if it is shorter)."""
+    total = np.zeros(len(w.start), U)
+    for k in range(n):
+        at = np.flatnonzero(w.end - w.start > k)
+        total[at] += _NUMBERS[k * 256 + w.buf[w.end[at] - 1 - k].astype(np.int64)]
+    return mix(total)
+
+
+def windows(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of ``length`` words, of hashes ``h``, that start at ``at``."""
+    span = 1
+    while span * 2 <= length:
+        h = mix(h[:-span] * _LEFT + h[span:])
+        span *= 2
+    return mix(h[at] * _OUTER + h[at + (length - span)] + U(length)) if len(at) else np.zeros(0, U)
 
 
 def window_starts(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +191,13 @@ def shingle_sets(texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
     shingle; a text without words (or null) has the empty set.
     """
     w = words(texts, lower=True)
-    sums, counts = word_sums(w.hash), w.counts
+    counts = w.counts
     full = np.maximum(counts - length + 1, (counts > 0).astype(np.int64))
     doc = np.repeat(np.arange(len(full)), full)
     first = np.cumsum(full) - full
     at = np.arange(full.sum()) - np.repeat(first, full) + w.bounds[doc]
-    h = windows(sums, at, np.minimum(counts, length)[doc])
+    size, h = np.minimum(counts, length)[doc], np.empty(len(at), U)
+    for n in np.unique(size).tolist():
+        some = np.flatnonzero(size == n)
+        h[some] = windows(w.hash, at[some], n)
     return distinct_by_doc(h, full)

@@ -35,11 +35,11 @@ PREFIXES = (4, 5, 6)
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(hash, document) of every word, then of every prefix of each length."""
     w = textops.words(texts, lower=True, separators=textops.NON_LETTERS)
-    doc, sums = w.doc, textops.byte_sums(w.buf)
+    doc = w.doc
     yield w.hash, doc
     for n in PREFIXES:
         at = np.flatnonzero(w.end - w.start > n)
-        yield textops.spans(w.buf, w.start[at], w.start[at] + n, sums) ^ textops.U(n), doc[at]
+        yield w.prefixes(at, n), doc[at]
 
 
 @dataclass
