@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -34,7 +35,7 @@ def test_value_one_segments_lose_nothing(docs, monkeypatch):
         b = real(share, histogram, largest)
         need = b.segments + b.ones
         ones = need // 2
-        return setjoin.Bands(b.start, need - ones, ones)
+        return replace(b, segments=need - ones, ones=ones)
 
     monkeypatch.setattr(setjoin, "plan", forced)
     rows = _rows()
@@ -45,8 +46,37 @@ def test_value_one_segments_lose_nothing(docs, monkeypatch):
 def test_plan_covers_the_difference():
     share = setjoin.Share(4, 5)
     b = setjoin.plan(share, {n: 100 for n in range(1, 400)}, 400)
-    ends = np.append(b.start[1:], 401)
-    assert all(m + d >= (e - 1) * 1 // 4 + 1 and d <= m for m, d, e in zip(b.segments, b.ones, ends))
+    assert all(m + d >= (e - 1) * 1 // 4 + 1 and d <= m for m, d, e in zip(b.segments, b.ones, b.end))
+
+
+@pytest.mark.parametrize("spare,ones", [(0, 0), (3, 0), (20, 0), (5, 4)])
+def test_similar_sets_share_an_entry(spare, ones):
+    """Whatever is left out: sets at the very threshold, of equal and of unequal sizes."""
+    share, rng = setjoin.Share(4, 5), np.random.default_rng(spare)
+    sizes = np.array([*range(1, 60), 200])
+    b = setjoin.plan(share, {int(n): 50 for n in sizes}, 300)
+    need = (b.end - 1) // 4 + 1 + spare
+    b = replace(b, segments=need - np.minimum(ones, need // 2), ones=np.minimum(ones, need // 2))
+    for n in sizes.tolist():
+        for away in range(n // 5 + 1):  # tokens of the first that the second hasn't; the second may add others
+            most = next(k for k in range(n, -1, -1) if (n - away) * 5 >= (n + k) * 4)
+            for more in {0, most, most // 2}:
+                pool = np.unique(rng.integers(0, 2**64, 2 * n + 50, dtype=np.uint64))
+                rng.shuffle(pool)
+                x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[away:n], pool[n : n + more]]))
+                key, row = setjoin.entries(np.concatenate([x, y]), np.array([len(x), len(y)]), b, share)
+                assert set(key[row == 0].tolist()) & set(key[row == 1].tolist()), (n, away, more)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 100, 129, 700, 5000):
+        pool = rng.integers(0, 2**64, n + n // 4 + 1, dtype=np.uint64)
+        x, y = pool[:n], pool[n // 8 :]
+        a, b = setjoin.sketches(np.concatenate([x, y]), np.array([len(x), len(y)]))
+        far = setjoin.apart([a, b], [b, a])
+        assert far[0] == far[1] <= len(set(x.tolist()) ^ set(y.tolist()))
+        assert setjoin.apart([a], [setjoin.folded(a, 32)])[0] == 0
 
 
 def test_deduplicate(docs):
