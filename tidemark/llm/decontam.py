@@ -12,10 +12,13 @@ share, so it is enough that they hit all patterns of 10 to 19 equal words, which
 enumerates. The guarantee holds for these thresholds and stricter ones.
 
 Words are runs of letters and digits (A-Z lower-cased, bytes of other scripts kept). Items
-of fewer than ``least_words`` words are matched as a whole; items of fewer than
-``least_item`` words are not searched, and null or empty texts match nothing. Repeated documents are
-reported each, repeated items each under their own id (ties in item text give one row per
-item). Extra columns are ignored and empty tables give empty results.
+of fewer than ``least_words`` words are matched as a whole, from TOLERANT words on with one
+substitution, which leaves one half of the item intact (the masks of these are the halves);
+items of fewer than ``least_item`` words are not searched, as such texts are everyday
+phrases, and null or empty texts match nothing. Repeated documents are reported each,
+repeated items each under their own id (ties in item text give one row per item); an item
+whose id is null, or no whole number, is searched and reported with a null id. Extra columns
+are ignored and empty tables give empty results.
 
 The benchmark's index is broadcast in blocks of bounded size, one pass over the documents
 per block; any realistic benchmark is one block.
@@ -42,6 +45,8 @@ SEPARATORS[48:58] = False
 MASKS = ("xxxx-xx", "xxx----------xxx", "xx-x---xxx", "xxx--x-xx", "xx---x---xxx", "xxxxxx", "xxxxx--x")
 _PICK = textops.mix(np.arange(1, 257, dtype=np.uint64)) | U(1)
 BLOCK_BYTES = 4 << 20
+#: Words from which a short item may have one substitution.
+TOLERANT = 8
 
 
 def seeds(hashes: np.ndarray, bounds: np.ndarray, mask: str, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +62,7 @@ def seeds(hashes: np.ndarray, bounds: np.ndarray, mask: str, salt: int) -> tuple
 class Index:
     """Benchmark items: ids, words end to end, and sorted seed hashes with their places."""
 
-    ids: np.ndarray
+    ids: pa.Array
     hashes: np.ndarray
     bounds: np.ndarray
     masks: list[str]
@@ -67,24 +72,31 @@ class Index:
     filter: np.ndarray
 
 
-def index(ids: list[int], texts: list[str | None], masks=MASKS, least_words: int = 10, least_item: int = 5) -> Index:
+def needed(n: int, least_words: int) -> int:
+    """Equal words that an overlap with an item of ``n`` words must have."""
+    return least_words if n >= least_words else n - (n >= TOLERANT)
+
+
+def index(ids: list[int | None], texts: list[str | None], masks=MASKS, least_words: int = 10, least_item: int = 5) -> Index:
     w = textops.words(pa.array(texts, pa.string()), lower=True, separators=SEPARATORS)
     whole = max(least_words, min(map(len, masks)))  # items of fewer words must be equal in all
     short = sorted({int(n) for n in w.counts if least_item <= n < whole})
-    masks = [*masks, *("x" * n for n in short)]
+    general = len(masks)
+    halves = lambda n: ("x" * (n // 2) + "-" * (n - n // 2), "-" * (n // 2) + "x" * (n - n // 2))
+    masks = [*masks, *(mask for n in short for mask in (halves(n) if n >= TOLERANT else ("x" * n,)))]
     found = []
     for k, mask in enumerate(masks):
         h, at, doc = seeds(w.hash, w.bounds, mask, k)
         offset = at - w.bounds[doc]
         n = w.counts[doc]
-        keep = n >= whole if k < len(masks) - len(short) else n == len(mask)
+        keep = n >= whole if k < general else n == len(mask)
         found.append((h[keep], doc[keep].astype(np.int32), offset[keep].astype(np.int32)))
     seed, item, offset = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(seed, kind="stable")
     seed = seed[order]
     flags = np.zeros(1 << 20, bool)
     flags[(seed >> U(44)).astype(np.int64)] = True
-    return Index(np.array(ids, np.int64), w.hash, w.bounds, masks, seed, item[order], offset[order], flags)
+    return Index(pa.array(ids, pa.int64()), w.hash, w.bounds, masks, seed, item[order], offset[order], flags)
 
 
 def best_stretch(equal: np.ndarray, least_share: float) -> tuple[int, int, int]:
@@ -121,7 +133,7 @@ def search(texts: pa.Array, ix: Index, least_words: int, least_share: float) ->
         p, q = w.bounds[row], w.bounds[row + 1]
         lo, hi = max(0, shift), min(q - p, shift + b - a)
         s, e, same = best_stretch(w.hash[p + lo : p + hi] == ix.hashes[a + lo - shift : a + hi - shift], least_share)
-        if same >= min(least_words, b - a):
+        if same >= needed(b - a, least_words):
             found = (same, -(lo + s), e - s)
             if found > best.get((row, item), (0,)):
                 best[row, item] = found
@@ -142,7 +154,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 10, least
 
 def _blocks(benchmark: DataFrame, masks, least_words: int) -> Iterator[Index]:
     """The benchmark's index, in blocks of bounded size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
+    items = benchmark.select(F.expr("try_cast(item_id as bigint)").alias("item_id"), "text").filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
     for b in range(blocks):
@@ -160,7 +172,7 @@ def _overlaps(docs: DataFrame, ix: Index, least_words: int, least_share: float)
             for part in textops.chunks(batch, "text"):
                 found = search(part.column(1), ix, least_words, least_share) if len(ix.seed) else []
                 rows, items, first, n, same = (np.array(x, np.int64) for x in (zip(*found) if found else [()] * 5))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(ix.ids[items]), pa.array(first), pa.array(n), pa.array(same)], ["doc_id", "item_id", "first_word", "n_words", "n_equal"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), ix.ids.take(pa.array(items)), pa.array(first), pa.array(n), pa.array(same)], ["doc_id", "item_id", "first_word", "n_words", "n_equal"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, n_equal long")
 
