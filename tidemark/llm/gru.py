@@ -42,28 +42,47 @@ U = textops.U
 END = U(0x5851F42D4C957F2D)
 #: Buckets of word endings, through which words outside the model's vocabulary enter it.
 ENDINGS = 256
+#: States whose output is worked out at once, so that it stays in a processor's cache.
+ROWS = 8192
 #: Tokens that a replica lays out at once and its parallel streams at most; parameters travel in blocks of so many.
-LEARN, STREAMS, BLOCK = 1 << 20, 256, 1600
+LEARN, STREAMS, BLOCK = 1 << 20, 512, 1600
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of each document with its end, their ending buckets, and document bounds."""
+def tokens(texts: pa.Array, endings: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of each document with its end, their ending buckets (0 if not asked for), and document bounds."""
     w = textops.words(texts, lower=True)
     n = w.counts
     bounds = np.concatenate([[0], np.cumsum(n + 1)])
     place = np.arange(len(w.hash)) + w.doc
     h, tail = np.full(bounds[-1], END), np.zeros(bounds[-1], np.int64)
     h[place] = w.hash
-    tail[place] = (textops.endings(w, 2) % U(ENDINGS)).astype(np.int64)
+    if endings:
+        tail[place] = (textops.endings(w, 2) % U(ENDINGS)).astype(np.int64)
     return h, tail, bounds
 
 
-def lookup(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Index of each hash in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(h), -1)
-    k = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[k] == h, k, -1)
+class Lookup:
+    """Places of hashes in a sorted table, found by their leading bits."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, bits = table, max(4, (8 * len(table)).bit_length())
+        self.shift = U(64 - bits)
+        self.first = np.searchsorted(table >> self.shift, np.arange((1 << bits) + 1, dtype=U)).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Index of each hash in the table, or -1."""
+        out = np.full(len(h), -1)
+        cell = (h >> self.shift).astype(np.int64)
+        at, end = self.first[cell], self.first[cell + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            hit = self.table[at] == h[live]
+            out[live[hit]] = at[hit]
+            at += 1
+            more = ~hit & (at < end)
+            live, at, end = live[more], at[more], end[more]
+        return out
 
 
 @dataclass
@@ -74,12 +93,12 @@ class Vocabulary:
     counts: np.ndarray
     edge: np.ndarray
     order: np.ndarray = field(init=False)
-    sorted: np.ndarray = field(init=False)
+    places: Lookup = field(init=False)
     word_class: np.ndarray = field(init=False)
 
     def __post_init__(self):
         self.order = np.argsort(self.hashes)
-        self.sorted = self.hashes[self.order]
+        self.places = Lookup(self.hashes[self.order])
         self.word_class = np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
 
     @property
@@ -87,8 +106,8 @@ class Vocabulary:
         return len(self.edge)  # with the tail
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        k = lookup(self.sorted, h)
-        return np.where(k >= 0, self.order[np.maximum(k, 0)], -1)
+        k = self.places(h)
+        return np.where(k >= 0, self.order[np.maximum(k, 0)], -1) if len(self.order) else k
 
 
 def vocabulary(hashes: np.ndarray, counts: np.ndarray, words: int, classes: int, widest: int = 256) -> Vocabulary:
@@ -108,11 +127,18 @@ def vocabulary(hashes: np.ndarray, counts: np.ndarray, words: int, classes: int,
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Model:
-    """Parameters: x (input rows, 3H), u (H, 3H), class weights and biases, word weights and biases."""
+    """A minimal gated unit: one gate forgets, and resets what the candidate sees of the state.
+
+    Parameters: x (input rows, 2H), u (H, 2H), class weights and biases, word weights and biases.
+    """
 
     def __init__(self, vocab: Vocabulary, tail_count: float, hidden: int = 24, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -121,8 +147,8 @@ class Model:
         per_class = np.append(np.add.reduceat(vocab.counts, vocab.edge[:-1]) if m else np.zeros(0), max(tail_count, 1.0)) if m else np.array([1.0])
         f = np.float32
         self.p = {
-            "x": (rng.normal(0, 0.3, (m + ENDINGS, 3 * hidden))).astype(f),
-            "u": (rng.normal(0, hidden**-0.5, (hidden, 3 * hidden))).astype(f),
+            "x": (rng.normal(0, 0.3, (m + ENDINGS, 2 * hidden))).astype(f),
+            "u": (rng.normal(0, hidden**-0.5, (hidden, 2 * hidden))).astype(f),
             "cw": np.zeros((hidden, len(per_class)), f), "cb": np.log(per_class / per_class.sum()).astype(f),
             "ww": np.zeros((m, hidden), f), "wb": np.log(np.maximum(vocab.counts, 1)).astype(f),
         }
@@ -130,13 +156,21 @@ class Model:
     def inputs(self, word: np.ndarray, ending: np.ndarray) -> np.ndarray:
         return np.where(word >= 0, word, len(self.vocab.hashes) + ending)
 
-    def step(self, x: np.ndarray, h: np.ndarray):
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return self._step(x, h)[0]
+
+    def _step(self, x: np.ndarray, h: np.ndarray):
+        """The next state, and the gate, the candidate and what the gate let in of the state."""
         n = self.h
         a = h @ self.p["u"]
-        zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-        return h + z * (c - h), z, r, c, a[:, 2 * n :]
+        gate = _sigmoid(x[:, :n] + a[:, :n])
+        c = gate * a[:, n:]
+        c += x[:, n:]
+        np.tanh(c, out=c)
+        after = c - h
+        after *= gate
+        after += h
+        return after, gate, c, a[:, n:]
 
     def output(self, h: np.ndarray, word: np.ndarray, grads: dict | None = None, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each word (of the tail, for words outside) given states.
@@ -145,42 +179,66 @@ class Model:
         """
         p, v = self.p, self.vocab
         cls = np.where(word >= 0, v.word_class[np.maximum(word, 0)] if len(v.hashes) else 0, v.classes - 1)
-        s = h @ p["cw"] + p["cb"]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1)
+        order = np.argsort(cls, kind="stable")
+        cut = np.searchsorted(cls[order], np.arange(v.classes)).tolist()
+        h, cls, word = h[order], cls[order], word[order]  # by class, so that a class is a slice
         at = np.arange(len(h))
-        logp = (s[at, cls] - np.log(total)).astype(np.float64)
-        dh = None
+        e, picked, total = self._softmax(h @ p["cw"] + p["cb"], at, cls)
+        logp, dh = picked - np.log(total), None
         if grads is not None:
-            d = e / total[:, None]
-            d[at, cls] -= 1
+            e /= total[:, None]
+            e[at, cls] -= 1
             if real is not None:
-                d *= real[:, None]
-            grads["cw"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            dh = d @ p["cw"].T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(v.classes))
+                e *= real[order][:, None]
+            grads["cw"] += h.T @ e
+            grads["cb"] += e.sum(0)
+            dh = e @ p["cw"].T
         for c in range(v.classes - 1):
             lo, hi = v.edge[c], v.edge[c + 1]
-            rows = order[cut[c] : cut[c + 1]]
-            if not len(rows) or hi - lo == 1:
+            rows = slice(cut[c], cut[c + 1])
+            if rows.start == rows.stop or hi - lo == 1:
                 continue
-            hr = h[rows]
-            s = hr @ p["ww"][lo:hi].T + p["wb"][lo:hi]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(1)
-            mine, k = word[rows] - lo, np.arange(len(rows))
-            logp[rows] += s[k, mine] - np.log(total)
+            hr, k, mine = h[rows], at[: rows.stop - rows.start], word[rows] - lo
+            e, picked, total = self._softmax(hr @ p["ww"][lo:hi].T + p["wb"][lo:hi], k, mine)
+            logp[rows] += picked - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[k, mine] -= 1
-                grads["ww"][lo:hi] += d.T @ hr
-                grads["wb"][lo:hi] += d.sum(0)
-                dh[rows] += d @ p["ww"][lo:hi]
-        return logp, dh
+                e /= total[:, None]
+                e[k, mine] -= 1
+                grads["ww"][lo:hi] += e.T @ hr
+                grads["wb"][lo:hi] += e.sum(0)
+                dh[rows] += e @ p["ww"][lo:hi]
+        back = np.empty(len(order), np.int64)
+        back[order] = at
+        return logp[back].astype(np.float64), None if dh is None else dh[back]
+
+    @staticmethod
+    def _softmax(s: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of scores (in their place), the chosen score and the sum of each row."""
+        s -= s.max(1, keepdims=True)
+        picked = s[at, which]
+        np.exp(s, out=s)
+        return s, picked, s @ np.ones(s.shape[1], s.dtype)
+
+    def _adam(self, key: str, grad: np.ndarray, state: dict, pace: float, rows: np.ndarray | None = None) -> None:
+        """One step of Adam; of a table of which few ``rows`` have a gradient, on these alone."""
+        t = state["t"]
+        some = slice(None) if rows is None else rows
+        np.clip(grad, -0.1, 0.1, out=grad)
+        first, second = (m[some] for m in state["moments"][key])
+        first += np.float32(0.1) * (grad - first)
+        np.multiply(grad, grad, out=grad)
+        grad -= second
+        grad *= np.float32(0.01)
+        second += grad
+        change = np.sqrt(second)
+        change /= np.float32((1 - 0.99**t) ** 0.5)
+        change += np.float32(1e-6)
+        np.divide(first, change, out=change)
+        change *= np.float32(pace / (1 - 0.9**t))
+        self.p[key][some] -= change
+        if rows is not None:
+            for m, new in zip(state["moments"][key], (first, second)):
+                m[rows] = new
 
     def train(self, word: np.ndarray, ending: np.ndarray, bounds: np.ndarray, streams: int = 64, window: int = 24, rate: float = 0.01, epochs: int = 2, state: dict | None = None) -> list[float]:
         """Truncated backpropagation with Adam over documents laid end to end in parallel streams.
@@ -191,58 +249,61 @@ class Model:
             return []
         streams = max(1, min(streams, len(word) // 2))
         length = -(-len(word) // streams)
-        lay = lambda x, fill: np.append(x, np.full(length * streams - len(x), fill, x.dtype)).reshape(streams, length).T
+        lay = lambda x, fill: np.append(x, np.full(length * streams - len(x), fill, x.dtype)).reshape(streams, length).T.copy()
         w, inp, real = lay(word, -1), lay(self.inputs(word, ending), 0), lay(np.ones(len(word), np.float32), 0)
-        start = np.zeros(len(word), bool)
-        start[bounds[:-1]] = True
-        start = lay(start, False)
+        going = np.ones(len(word), np.float32)
+        going[bounds[:-1]] = 0
+        going = lay(going, 1)[:, :, None]  # 0 where a document starts
         decays, state = state is None, {} if state is None else state
-        moments = state.setdefault("moments", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()})
-        losses, t, n = [], state.get("t", 0), self.h
+        state.setdefault("moments", {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()})
+        losses, n = [], self.h
         steps = epochs * -(-length // window)
+        state.setdefault("t", 0)
         for _ in range(epochs):
             h = np.zeros((streams, n), np.float32)
             for lo in range(0, length, window):
-                t += 1
-                states, kept = [], []
+                state["t"] += 1
                 hi = min(lo + window, length)
-                for i in range(lo, hi):
-                    h = np.where(start[i][:, None], np.float32(0), h)
-                    states.append(h)
-                    h2, z, r, c, a = self.step(self.p["x"][inp[i]], h)
-                    kept.append((h, z, r, c, a))
-                    h = h2
-                g = {k: np.zeros_like(v) for k, v in self.p.items()}
                 here = real[lo:hi].ravel()
                 size = float(here.sum())
-                logp, dout = self.output(np.concatenate(states), w[lo:hi].ravel(), g, here)
-                losses.append(-float(logp @ here) / size)
-                dout = dout.reshape(hi - lo, streams, n)
-                dh = np.zeros((streams, n), np.float32)
-                dx = np.empty((hi - lo, streams, 3 * n), np.float32)
-                for k in range(hi - lo - 1, -1, -1):
-                    h0, z, r, c, a = kept[k]
-                    dc = dh * z * (1 - c * c)
-                    dz = dh * (c - h0) * z * (1 - z)
-                    dr = dc * a * r * (1 - r)
-                    da = np.concatenate([dz, dr, dc * r], 1)
-                    g["u"] += h0.T @ da
-                    dx[k] = np.concatenate([dz, dr, dc], 1)
-                    dh = dh * (1 - z) + da @ self.p["u"].T + dout[k]
-                    dh = np.where(start[lo + k][:, None], np.float32(0), dh)
-                order, cut = exchange.groups(inp[lo:hi].ravel())
-                g["x"][inp[lo:hi].ravel()[order[cut]]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], cut)
-                pace = rate * (1 - (t - 1) / steps) ** 0.5 if decays else rate
+                h, loss, g, rows = self._window(inp[lo:hi], w[lo:hi], going[lo:hi], here, h)
+                losses.append(loss / size)
+                pace = rate * (1 - (state["t"] - 1) / steps) ** 0.5 if decays else rate
                 for k, grad in g.items():
-                    grad /= size
-                    np.clip(grad, -0.1, 0.1, out=grad)
-                    m1, m2 = moments[k]
-                    m1 += 0.1 * (grad - m1)
-                    m2 += 0.01 * (grad * grad - m2)
-                    self.p[k] -= (pace * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-        state["t"] = t
+                    grad /= np.float32(size)
+                    self._adam(k, grad, state, pace, rows if k == "x" else None)
         return losses
 
+    def _window(self, inp: np.ndarray, word: np.ndarray, going: np.ndarray, real: np.ndarray, h: np.ndarray):
+        """The state after a window (steps x streams), its loss, and the gradients; those of x for the rows named last."""
+        n, (length, streams) = self.h, inp.shape
+        x, shape = self.p["x"][inp], (length, streams, n)
+        before, c, a, gate = (np.empty(shape, np.float32) for _ in range(4))
+        for k in range(length):
+            np.multiply(h, going[k], out=before[k])
+            h, gate[k], c[k], a[k] = self._step(x[k], before[k])
+        g = {k: np.zeros_like(v) for k, v in self.p.items() if k not in ("x", "u")}
+        logp, dout = self.output(before.reshape(-1, n), word.ravel(), g, real)
+        dout = dout.reshape(shape)
+        stay = 1 - gate
+        to_c = gate * (1 - c * c)
+        to_gate = ((c - before) + to_c * a) * gate * stay  # directly, and through the candidate
+        dx, da = (np.empty((length, streams, 2 * n), np.float32) for _ in range(2))
+        dh, back = np.zeros((streams, n), np.float32), self.p["u"].T.copy()
+        for k in range(length - 1, -1, -1):
+            np.multiply(dh, to_gate[k], out=dx[k, :, :n])
+            np.multiply(dh, to_c[k], out=dx[k, :, n:])
+            da[k, :, :n] = dx[k, :, :n]
+            np.multiply(dx[k, :, n:], gate[k], out=da[k, :, n:])
+            dh *= stay[k]
+            dh += da[k] @ back
+            dh += dout[k]
+            dh *= going[k]
+        g["u"] = before.reshape(-1, n).T @ da.reshape(-1, 2 * n)
+        order, cut = exchange.groups(inp.ravel())
+        g["x"] = np.add.reduceat(dx.reshape(-1, 2 * n)[order], cut)
+        return h, -float(logp @ real), g, inp.ravel()[order[cut]]
+
     def score(self, word: np.ndarray, ending: np.ndarray, bounds: np.ndarray, window: int = 64) -> np.ndarray:
         """Natural log probability of each document's tokens, the state carried over windows."""
         n = np.diff(bounds)
@@ -261,8 +322,9 @@ class Model:
                 states.append(h[:live])
                 which.append(at)
                 docs.append(np.arange(live))
-                h = self.step(self.p["x"][inp[at]], h[:live])[0]
-            logp, _ = self.output(np.concatenate(states), word[np.concatenate(which)])
+                h = self.step(self.p["x"][inp[at]], h[:live])
+            states, asked = np.concatenate(states), word[np.concatenate(which)]
+            logp = np.concatenate([self.output(states[a : a + ROWS], asked[a : a + ROWS])[0] for a in range(0, len(states), ROWS)])
             out[by_size] += np.bincount(np.concatenate(docs), weights=logp, minlength=len(n))
         return out
 
@@ -310,6 +372,7 @@ def count(docs: DataFrame, head: np.ndarray, parts: int, words: int) -> DataFram
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, head = exchange.Packer(parts, kinds), shared.value
+        known = Lookup(head)
         common = np.zeros(len(head), np.int64)
         for batch in batches:
             tid, train = np.array(batch.column(0), np.int64), ~np.array(batch.column(1), bool)
@@ -320,10 +383,10 @@ def count(docs: DataFrame, head: np.ndarray, parts: int, words: int) -> DataFram
             one = batch.take(pa.array(where))
             at = 0
             for part in textops.chunks(one, "text"):
-                h, _, bounds = tokens(part.column(2))
+                h, _, bounds = tokens(part.column(2), endings=False)
                 doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 times = copies[at : at + part.num_rows]
-                k = lookup(head, h)
+                k = known(h)
                 common += np.bincount(k[k >= 0], weights=times[doc[k >= 0]], minlength=len(head)).astype(np.int64)
                 rest = np.flatnonzero(k < 0)
                 order, cut = exchange.groups(h[rest], doc[rest])
@@ -455,13 +518,14 @@ def _score_rows(docs: DataFrame, stats: Statistics, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stats, model = shared.value
+        known = Lookup(stats.head)
         logs = np.log10(stats.counts + 0.1)
         for batch in batches:
             for group in textops.chunks(batch, "text", 12 << 20):
                 got, at = [], 0
                 for part in textops.chunks(group, "text"):
                     h, tail, bounds = tokens(part.column(3))
-                    k = lookup(stats.head, h)
+                    k = known(h)
                     got.append((k, model.vocab.find(h).astype(np.int32), tail.astype(np.uint8), bounds[1:] + at))
                     at += bounds[-1]
                 k, word, tail = (np.concatenate([g[i] for g in got]) for i in range(3))
