@@ -179,45 +179,57 @@ class Model:
         """
         p, v = self.p, self.vocab
         cls = np.where(word >= 0, v.word_class[np.maximum(word, 0)] if len(v.hashes) else 0, v.classes - 1)
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         cut = np.searchsorted(cls[order], np.arange(v.classes)).tolist()
         h, cls, word = h[order], cls[order], word[order]  # by class, so that a class is a slice
-        at = np.arange(len(h))
-        e, picked, total = self._softmax(h @ p["cw"] + p["cb"], at, cls)
-        logp, dh = picked - np.log(total), None
+        at, sums = np.arange(len(h)), np.ones((2, len(h)), h.dtype)
+        # States are within -1 and 1, so no score is above its bound.
+        bound = (p["cb"] + np.abs(p["cw"]).sum(0)).max()
+        e, picked = self._softmax(h, p["cw"], p["cb"] - bound, at, cls, sums[0])
+        dh = None
         if grads is not None:
-            e /= total[:, None]
-            e[at, cls] -= 1
-            if real is not None:
-                e *= real[order][:, None]
+            weight = np.ones(len(h), h.dtype) if real is None else real[order]
+            e *= (weight / sums[0])[:, None]
+            e[at, cls] -= weight
             grads["cw"] += h.T @ e
-            grads["cb"] += e.sum(0)
+            grads["cb"] += np.ones(len(e), e.dtype) @ e
             dh = e @ p["cw"].T
+        if v.classes > 1:
+            bounds = np.maximum.reduceat(p["wb"] + np.abs(p["ww"]).sum(1), v.edge[:-1])
         for c in range(v.classes - 1):
             lo, hi = v.edge[c], v.edge[c + 1]
             rows = slice(cut[c], cut[c + 1])
             if rows.start == rows.stop or hi - lo == 1:
                 continue
             hr, k, mine = h[rows], at[: rows.stop - rows.start], word[rows] - lo
-            e, picked, total = self._softmax(hr @ p["ww"][lo:hi].T + p["wb"][lo:hi], k, mine)
-            logp[rows] += picked - np.log(total)
+            e, chosen = self._softmax(hr, p["ww"][lo:hi].T, p["wb"][lo:hi] - bounds[c], k, mine, sums[1, rows])
+            picked[rows] += chosen
             if grads is not None:
-                e /= total[:, None]
+                e *= (1 / sums[1, rows])[:, None]
                 e[k, mine] -= 1
                 grads["ww"][lo:hi] += e.T @ hr
-                grads["wb"][lo:hi] += e.sum(0)
+                grads["wb"][lo:hi] += np.ones(len(e), e.dtype) @ e
                 dh[rows] += e @ p["ww"][lo:hi]
         back = np.empty(len(order), np.int64)
         back[order] = at
+        logp = picked - np.log(sums[0]) - np.log(sums[1])
         return logp[back].astype(np.float64), None if dh is None else dh[back]
 
     @staticmethod
-    def _softmax(s: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exponentials of scores (in their place), the chosen score and the sum of each row."""
-        s -= s.max(1, keepdims=True)
+    def _softmax(h: np.ndarray, weights: np.ndarray, biases: np.ndarray, at: np.ndarray, which: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of scores, which are below 0, and the chosen score; the sum of each row into ``total``."""
+        s = h @ weights
+        s += biases
         picked = s[at, which]
         np.exp(s, out=s)
-        return s, picked, s @ np.ones(s.shape[1], s.dtype)
+        np.matmul(s, np.ones(s.shape[1], s.dtype), out=total)
+        if total.min(initial=1) < 1e-25:  # far below the bound
+            s = h @ weights + biases
+            s -= s.max(1, keepdims=True)
+            picked = s[at, which]
+            np.exp(s, out=s)
+            total[:] = s.sum(1)
+        return s, picked
 
     def _adam(self, key: str, grad: np.ndarray, state: dict, pace: float, rows: np.ndarray | None = None) -> None:
         """One step of Adam; of a table of which few ``rows`` have a gradient, on these alone."""
