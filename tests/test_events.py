@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import envelope
-from tidemark.model import LOG_RECORD, ORDERS, RAW_COLUMNS
+from tidemark.model import LOG_RECORD, ORDERS, RAW_COLUMNS, TABLES
 from tidemark.operators import events, quality, upsert
 
 CLOCK = "timestamp '2024-05-01 12:00:00'"
@@ -86,7 +86,7 @@ def test_batches_equal_rebuild(spark, raw, seed):
     log = _random_log(seed)
     whole = events.rebuild(raw(*log), ORDERS, F.expr(CLOCK))
     log.sort(key=lambda r: r[4])
-    have, stale = upsert.empty_current(spark, ORDERS), []
+    have, stale = spark.createDataFrame([], TABLES[ORDERS.current_table].schema), []
     for lo, hi in ((0, 17), (17, 18), (18, 60), (60, 99)):
         batch = raw(*log[lo:hi])
         stale += rows(upsert.batch_quarantine(batch, ORDERS, have, F.expr(CLOCK)), "kafka_offset", "previous_max_source_lsn")
@@ -110,7 +110,8 @@ def test_transitions(raw):
 
 
 def test_check_framework(spark):
-    t = spark.range(3)
-    report = quality._union([quality.expect_zero(t.limit(0), "a", ""), quality.expect_zero(t, "b", ""), quality.expect_equal(t, t, "c", ""), quality.info(t, "d", "")])
+    facts = quality._beside([quality._n(spark.range(n), f"f{n}") for n in (0, 3, 2)])
+    zero = F.lit(0)
+    report = facts.select(F.inline(F.array(quality._check("a", "f0", zero, ""), quality._check("b", "f3", zero, ""), quality._check("c", "f3", F.col("f2") + 1, ""), quality._check("d", "f3", None, "", info=True))))
     assert rows(report, "name", "status", "observed") == [("a", "PASS", 0), ("b", "FAIL", 3), ("c", "PASS", 3), ("d", "INFO", 3)]
     assert rows(quality.failed(report), "name") == [("b",)]

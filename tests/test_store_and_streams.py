@@ -1,14 +1,15 @@
+import logging
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.model import LOG_RECORD, ORDERS, STALE
+from tidemark.model import LOG_RECORD, ORDERS, PAYMENTS, STALE
 from tidemark.operators import events, marts
-from tidemark.session import Settings, settings
+from tidemark.session import DEFAULTS, FILE_VARIABLE, Settings, logger, settings
 from tidemark.sources import log as logs
-from tidemark.sources.store import Store, split_statements
+from tidemark.sources.store import Conflict, Store, split_statements
 from tidemark.streaming import jobs
 
 from test_events import CLOCK, record, rows
@@ -82,13 +83,102 @@ def test_seed_marts(spark):
 
 
 def test_settings(tmp_path):
-    assert settings(env={}) == Settings()
+    assert settings(env={}).topics[0] == "cdc.public.customers" and DEFAULTS.exists()
     file = tmp_path / "s.json"
-    file.write_text('{"brokers": "a:1", "topics": ["x", "y"]}')
-    got = settings(str(file), {"KAFKA_BOOTSTRAP_SERVERS": "b:2", "S3_SSL_ENABLED": "Yes"})
-    assert (got.brokers, got.s3_ssl, logs.topics(got), got.checkpoint("j")) == ("b:2", True, "x,y", "checkpoints/j")
+    file.write_text('{"brokers": "a:1", "topics": ["x", "y"], "fail_on_data_loss": "Yes"}')
+    got = settings(env={FILE_VARIABLE: str(file), "KAFKA_BOOTSTRAP_SERVERS": "b:2", "S3_SSL_ENABLED": "Yes", "POSTGRES_HOST": "h", "POSTGRES_DB": "d", "ICEBERG_CATALOG_NAME": "c"})
+    assert (got.brokers, got.s3_ssl, got.fail_on_data_loss, got.under(got.checkpoints, "j"), got.tables) == ("b:2", True, True, "checkpoints/j", "warehouse/c")
+    assert got.jdbc["url"] == "jdbc:postgresql://h:5432/d"
+    assert logs._options(got, endingOffsets="latest") == {"kafka.bootstrap.servers": "b:2", "subscribe": "x,y", "startingOffsets": "earliest", "failOnDataLoss": "true", "endingOffsets": "latest"}
     with pytest.raises(ValueError):
-        logs.topics(Settings())
+        logs._options(Settings())
     file.write_text('{"colour": 1}')
     with pytest.raises(ValueError):
         settings(str(file), {})
+
+
+def test_logger_writes_each_line_once():
+    for _ in range(3):
+        logger("one")
+    handlers = [h for h in logger("one").parent.handlers if type(h) is logging.StreamHandler]
+    assert len(handlers) == 1 and not logger("one").handlers
+
+
+def test_two_writers(spark, tmp_path):
+    """The second of two writes that began with the same version fails and changes nothing."""
+    store = Store(spark, str(tmp_path))
+    store.overwrite("t", spark.range(1))
+    since = store.version("t")
+    store.overwrite("t", spark.range(2))
+    with pytest.raises(Conflict):
+        store.overwrite("t", spark.range(3), since=since)
+    assert store.read("t").count() == 2
+    new = store.version("none")
+    store.create("u", spark.range(0).schema)
+    assert new is None and store.read("u").count() == 0
+
+
+def test_merge_rewrites_only_what_it_touches(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    newest = lambda old, new: old.join(new, "id", "left_anti").unionByName(new)
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, v string")
+    store.create("t", rows().schema)
+    store.merge("t", rows(*[(i, "a") for i in range(100)]), "id", newest, buckets=8)
+    before = store.version("t").folders
+    store.merge("t", rows((3, "b")), "id", newest, buckets=8, batch=("q", 4))
+    after = store.version("t").folders
+    assert sorted(before) == sorted(after) and sum(before[k] != after[k] for k in before) == 1
+    assert store.read("t").count() == 100 and [r.id for r in store.read("t").filter("v = 'b'").collect()] == [3]
+    store.merge("t", rows(), "id", newest, buckets=8)
+    assert store.version("t").folders == after and store.holds("t", ("q", 4)) and not store.holds("t", ("q", 5)) and not store.holds("t", ("p", 0))
+    assert store.vacuum("t", keep=1) >= 2
+    assert store.read("t").count() == 100 and store.vacuum("t", keep=1) == 0
+
+
+def test_fresh_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "tables"))
+    for k, offset in enumerate((0, 4)):
+        place = str(tmp_path / f"log{k}")
+        spark.createDataFrame([record(offset, key=k + 1, lsn=10)], LOG_RECORD).write.parquet(place)
+        jobs.ingest(logs.file_stream(spark, place), store, str(tmp_path / f"c{k}"), clock=F.expr(CLOCK)).awaitTermination()
+    assert rows(jobs.raw_rows(store), "kafka_offset") == [(0,), (4,)]
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    """As after a crash between the snapshot and the checkpoint: the commit of the batch is taken back."""
+    place, store, clock = str(tmp_path / "log"), Store(spark, str(tmp_path / "tables")), F.expr(CLOCK)
+    write = lambda *r: spark.createDataFrame(list(r), LOG_RECORD).write.mode("append").parquet(place)
+
+    def run():
+        jobs.ingest(logs.file_stream(spark, place), store, str(tmp_path / "c1"), clock=clock).awaitTermination()
+        jobs.maintain_current(jobs.raw_stream(store, ORDERS), ORDERS, store, str(tmp_path / "c2"), clock=clock, quarantine_table="q").awaitTermination()
+
+    write(record(0, lsn=10))
+    run()
+    write(record(1, lsn=20, status="PAID"), record(2, lsn=30, status="LATE"))
+    run()
+    table = rows(store.read(ORDERS.current_table), "order_id", "order_status", "source_lsn")
+    wrong = rows(store.read_batches("q"), "primary_key", "kafka_offset")
+    number = store.version(ORDERS.current_table).number
+    commits = sorted(p for p in (tmp_path / "c2" / "commits").iterdir() if p.name.isdigit())
+    for f in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        f.unlink()  # else Spark takes the rest for another writer's
+    run()
+    assert rows(store.read(ORDERS.current_table), "order_id", "order_status", "source_lsn") == table == [(1, "LATE", 30)]
+    assert rows(store.read_batches("q"), "primary_key", "kafka_offset") == wrong and store.version(ORDERS.current_table).number == number
+
+
+def test_two_entities_share_a_quarantine(spark, tmp_path):
+    import json
+
+    store, place, clock = Store(spark, str(tmp_path / "tables")), str(tmp_path / "log"), F.expr(CLOCK)
+    pay = []
+    for r in (record(0, lsn=50), record(1, lsn=5)):
+        value = json.loads(r[1])
+        value["source"]["table"], value["after"] = "payments", {"payment_id": 9, "payment_status": "REQUESTED"}
+        pay.append((r[0], json.dumps(value), "cdc.public.payments", *r[3:]))
+    spark.createDataFrame([record(0, lsn=50), record(1, lsn=5), *pay], LOG_RECORD).write.parquet(place)
+    jobs.ingest(logs.file_stream(spark, place), store, str(tmp_path / "c"), clock=clock).awaitTermination()
+    for e in (ORDERS, PAYMENTS):
+        jobs.maintain_current(jobs.raw_stream(store, e), e, store, str(tmp_path / e.name), clock=clock, quarantine_table="q").awaitTermination()
+    assert rows(store.read_batches("q"), "entity", "primary_key") == [("orders", "1"), ("payments", "9")]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.model import ENTITIES, RAW_COLUMNS
 
+#: The envelope is parsed once; nested objects stay text, as raw rows keep them.
+_ENVELOPE = "op string, before string, after string, source string, transaction string, ts_ms string"
 #: Only what is read of the source block; a narrow schema is what makes parsing cheap.
 _SOURCE = "`table` string, lsn bigint, txId bigint"
 
@@ -16,17 +18,23 @@ def event_id(topic: Column, partition: Column, offset: Column) -> Column:
     return F.sha2(F.concat_ws(":", topic, partition.cast("string"), offset.cast("string")), 256)
 
 
+def _opened(rows: DataFrame, text: Column, schema: str, names: dict[str, str]) -> DataFrame:
+    """Fields of a JSON column as columns. A generator, as a filter on a field isn't pushed below
+    it, where the text would be parsed a second time."""
+    return rows.select("*", F.inline(F.array(F.from_json(text, schema)))).withColumnsRenamed(names)
+
+
 def parse(log: DataFrame) -> DataFrame:
     """Log records (key, value, topic, partition, offset, timestamp) with the envelope's fields."""
-    value = F.col("value").cast("string")
-    part = {c: F.get_json_object(value, f"$.{f}") for c, f in (("op", "op"), ("before_json", "before"), ("after_json", "after"), ("source_json", "source"), ("transaction_json", "transaction"))}
-    millis = F.get_json_object(value, "$.ts_ms").try_cast("double").try_cast("bigint")
-    parsed = log.withColumns({"key_json": F.col("key").cast("string"), "value_json": value, **part, "event_ts": F.timestamp_millis(millis)})
-    source = F.from_json("source_json", _SOURCE)
-    return parsed.withColumn("_source", source).withColumns({"source_table": F.col("_source.table"), "source_lsn": F.col("_source.lsn"), "source_tx_id": F.col("_source.txId")}).drop("_source")
+    text = log.withColumns({"key_json": F.col("key").cast("string"), "value_json": F.col("value").cast("string")})
+    names = {"before": "before_json", "after": "after_json", "source": "source_json", "transaction": "transaction_json"}
+    opened = _opened(text, F.col("value_json"), _ENVELOPE, names)
+    known = _opened(opened, F.col("source_json"), _SOURCE, {"table": "source_table", "lsn": "source_lsn", "txId": "source_tx_id"})
+    return known.withColumn("event_ts", F.timestamp_millis(F.col("ts_ms").try_cast("double").try_cast("bigint"))).drop("ts_ms")
 
 
 def located(log: DataFrame) -> DataFrame:
+    """With the record's coordinates under their own names."""
     return log.withColumns({"kafka_partition": F.col("partition"), "kafka_offset": F.col("offset"), "kafka_timestamp": F.col("timestamp")})
 
 

@@ -80,6 +80,8 @@ CURATED = [e for e in ENTITIES.values() if e.curated]
 
 #: Fixed value: why an event is quarantined.
 STALE = "STALE_SOURCE_LSN"
+#: Why an event without a usable image or key is quarantined, where that is asked for.
+INVALID = "INVALID_EVENT"
 
 #: One record of the log as the message source delivers it.
 LOG_RECORD = T.StructType(
@@ -100,10 +102,63 @@ EVENT_COLUMNS = [
     "event_id", "topic", "kafka_partition", "kafka_offset", "op", "key_json", "before_json", "after_json", "source_json",
     "source_table", "source_lsn", "source_tx_id", "event_ts", "ingestion_ts",
 ]
+#: Fixed names: what current and history rows have behind the record, and the quarantine's columns.
 CURRENT_TAIL = ["is_deleted", "deleted_at", "event_id", "source_lsn", "source_tx_id", "event_ts", "kafka_offset", "ingestion_ts", "silver_updated_at"]
 HISTORY_TAIL = ["change_op", "is_deleted", "event_id", "source_lsn", "source_tx_id", "event_ts", "kafka_offset", "ingestion_ts", "valid_from", "processing_date"]
 QUARANTINE_COLUMNS = [
     "entity", "primary_key", "reason", "event_id", "topic", "kafka_partition", "kafka_offset", "op", "source_table", "source_lsn", "previous_max_source_lsn",
     "source_tx_id", "event_ts", "key_json", "before_json", "after_json", "source_json", "quarantined_at", "processing_date",
 ]
-MART_TABLES = ["gold_daily_order_payment_summary", "gold_order_funnel_summary", "gold_payment_failure_summary", "gold_refund_summary"]
+
+_KINDS = {
+    "kafka_partition": T.IntegerType(), "kafka_offset": T.LongType(), "source_lsn": T.LongType(), "source_tx_id": T.LongType(), "previous_max_source_lsn": T.LongType(),
+    "is_deleted": T.BooleanType(), "processing_date": T.DateType(),
+    **dict.fromkeys(("kafka_timestamp", "event_ts", "ingestion_ts", "deleted_at", "valid_from", "quarantined_at", "silver_updated_at"), T.TimestampType()),
+}
+
+
+def _schema(names: list[str], first: T.StructType | None = None) -> T.StructType:
+    return T.StructType([*(first.fields if first else []), *[T.StructField(n, _KINDS.get(n, T.StringType())) for n in names]])
+
+
+def _mart(text: str) -> T.StructType:
+    """A mart's own columns as `name kind`, and the two that all marts end with."""
+    kinds = {"day": T.DateType(), "text": T.StringType(), "n": T.LongType(), "money": T.DecimalType(18, 2), "rate": T.DoubleType()}
+    own = [T.StructField(n, kinds[k]) for n, k in (part.split() for part in text.split(","))]
+    return T.StructType([*own, T.StructField("generated_at", T.TimestampType()), T.StructField("processing_date", T.DateType())])
+
+
+QUARANTINE_TABLE = "silver_quarantine_events"
+#: Fixed names and types: the columns of the marts.
+MARTS = {
+    "gold_daily_order_payment_summary": _mart(
+        "summary_date day, order_count n, paid_order_count n, payment_success_order_count n, payment_success_amount money, payment_failed_count n, payment_success_rate rate, "
+        "refund_count n, refund_amount money, refund_rate rate"
+    ),
+    "gold_order_funnel_summary": _mart(
+        "summary_date day, created_order_count n, paid_order_count n, payment_completed_order_count n, cancelled_order_count n, refunded_order_count n, order_to_paid_rate rate, "
+        "order_to_payment_completed_rate rate, order_to_refunded_rate rate"
+    ),
+    "gold_payment_failure_summary": _mart("failure_date day, payment_method text, failure_code text, failed_payment_count n, failed_order_count n, failed_requested_amount money"),
+    "gold_refund_summary": _mart("refund_date day, refund_status text, refund_count n, completed_refund_count n, refund_amount money, completed_refund_amount money, affected_order_count n, refund_rate rate"),
+}
+MART_TABLES = list(MARTS)
+
+
+@dataclass(frozen=True)
+class Table:
+    """A table of the lakehouse: its layer, schema and partition columns."""
+
+    layer: str
+    schema: T.StructType
+    partitions: tuple[str, ...] = ("processing_date",)
+
+
+TABLES = {
+    **{e.raw_table: Table("bronze", _schema(RAW_COLUMNS)) for e in ENTITIES.values()},
+    **{e.current_table: Table("silver", _schema(CURRENT_TAIL, e.record), ()) for e in CURATED},
+    **{e.history_table: Table("silver", _schema(HISTORY_TAIL, e.record)) for e in CURATED},
+    QUARANTINE_TABLE: Table("silver", _schema(QUARANTINE_COLUMNS)),
+    **{name: Table("gold", schema) for name, schema in MARTS.items()},
+}
+LAYERS = ("bronze", "silver", "gold")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.model import CURRENT_TAIL, EVENT_COLUMNS, HISTORY_TAIL, QUARANTINE_COLUMNS, STALE, Entity
+from tidemark.model import CURRENT_TAIL, EVENT_COLUMNS, HISTORY_TAIL, INVALID, QUARANTINE_COLUMNS, STALE, Entity
 
 FRESHNESS = ("source_lsn", "source_tx_id", "event_ts", "kafka_offset")
 
@@ -24,11 +24,21 @@ def freshest_first() -> list[Column]:
 def parse(raw: DataFrame, entity: Entity) -> DataFrame:
     """Typed record of each event: the image before a delete, else after. Rows without a key go."""
     image = F.from_json(F.when(F.col("op") == "d", F.col("before_json")).otherwise(F.col("after_json")), entity.record)
-    rows = raw.withColumn("_record", image).select(*[F.col("_record")[c].alias(c) for c in entity.columns], *EVENT_COLUMNS)
+    # A generator, as the filter on the key would otherwise go below it and parse the text twice.
+    rows = raw.select(*EVENT_COLUMNS, F.inline(F.array(image))).select(*entity.columns, *EVENT_COLUMNS)
     deleted = F.coalesce(F.col("op") == "d", F.lit(False))
     return rows.filter(F.col(entity.key).isNotNull()).withColumns({"is_deleted": deleted, "deleted_at": F.when(deleted, F.col("event_ts"))})
 
 
+def invalid(raw: DataFrame, entity: Entity, clock: Column | None = None) -> DataFrame:
+    """Quarantine rows of the events that `parse` can't use: no image, or one without a key."""
+    now = F.current_timestamp() if clock is None else clock
+    image = F.from_json(F.when(F.col("op") == "d", F.col("before_json")).otherwise(F.col("after_json")), f"{entity.key} bigint")
+    rows = raw.select(*EVENT_COLUMNS, F.inline(F.array(image)).alias("_key")).filter("_key is null")
+    extra = {"entity": F.lit(entity.name), "primary_key": F.lit(None).cast("string"), "reason": F.lit(INVALID), "previous_max_source_lsn": F.lit(None).cast("bigint"), "quarantined_at": now, "processing_date": F.to_date(now)}
+    return rows.withColumns(extra).select(*QUARANTINE_COLUMNS)
+
+
 def deduplicate(events: DataFrame, entity: Entity) -> DataFrame:
     """One row per event id, the freshest."""
     dealt = events.repartition(F.col(entity.key))

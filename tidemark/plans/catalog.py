@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import jobs as lake
 from tidemark.functions import envelope
-from tidemark.model import CURATED, ENTITIES, ORDERS, PAYMENTS, REFUNDS, Entity
+from tidemark.model import CURATED, LAYERS, ORDERS, PAYMENTS, REFUNDS, Entity
 from tidemark.operators import events, marts, quality, upsert
 from tidemark.plans.oracles import ORACLES
 from tidemark.sources import fixtures
@@ -18,7 +19,6 @@ from tidemark.sources.store import Store
 from tidemark.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
-_LOGS = {"orders": fixtures.order_log, "payments": fixtures.payment_log, "refunds": fixtures.refund_log}
 
 
 def _clock() -> Column:
@@ -31,7 +31,7 @@ def _utc(spark: SparkSession) -> SparkSession:
 
 
 def _raw(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
-    log = _LOGS[name] if name else fixtures.change_log
+    log = fixtures.LOGS[name] if name else fixtures.change_log
     return envelope.raw_rows(log(_utc(spark), sf_dir), _clock())
 
 
@@ -57,12 +57,27 @@ _CURRENT = {
 }
 
 
+#: What an event says of itself, in curated rows.
+_EVENT = ["event_id", "source_tx_id", "kafka_offset", "event_ts"]
+
+
+def _millis(df: DataFrame, *names: str) -> DataFrame:
+    """Times as milliseconds, for comparison across engines."""
+    return df.withColumns({f"{n}_ms": F.unix_millis(n) for n in names}).drop(*names)
+
+
 def _current(entity: Entity) -> Query:
-    return lambda spark, d: _plain(_rebuilt(spark, d, entity).current.select(*_CURRENT[entity.name]))
+    return lambda spark, d: _plain(_millis(_rebuilt(spark, d, entity).current.select(*_CURRENT[entity.name], *_EVENT, "deleted_at"), "event_ts", "deleted_at"))
 
 
 def _history(entity: Entity) -> Query:
-    return lambda spark, d: _rebuilt(spark, d, entity).history.select(entity.key, "change_op", "is_deleted", "source_lsn")
+    return lambda spark, d: _millis(_rebuilt(spark, d, entity).history.select(entity.key, "change_op", "is_deleted", "source_lsn", *_EVENT, "valid_from"), "event_ts", "valid_from")
+
+
+def _raw_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 18 raw columns."""
+    rows = _raw(spark, sf_dir, "orders").withColumn("processing_date", F.col("processing_date").cast("string"))
+    return _millis(rows, "kafka_timestamp", "event_ts", "ingestion_ts")
 
 
 def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,12 +107,33 @@ def _violations(rows: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, d: rows(_states(spark, d) | {"items": fixtures.items_state(spark, d)}).agg(F.count(F.lit(1)).alias("violations"))
 
 
+def _lake(spark: SparkSession, sf_dir: str) -> Store:
+    """Raw, curated and mart tables written from the whole log, as the jobs do."""
+    store = Store(_utc(spark), _place(spark))
+    store.append_batch(jobs.RAW, _raw(spark, sf_dir), "fixture", 0, ["source_table", "processing_date"])
+    lake.rebuild(store, clock=_clock())
+    lake.build_marts(store, _clock())
+    return store
+
+
 def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _states(spark, sf_dir)
-    source = {k: t.drop("is_deleted") for k, t in s.items()} | {"order_items": fixtures.items_state(spark, sf_dir)}
-    log = _raw(spark, sf_dir)
-    raw = {e: log.filter(F.col("source_table") == e) for e in ENTITIES}
-    return quality.report(source, raw, s, _quarantine(spark, sf_dir), _marts(spark, sf_dir)).select("name", "observed")
+    source = {k: t.drop("is_deleted") for k, t in _states(spark, sf_dir).items()} | {"order_items": fixtures.items_state(spark, sf_dir)}
+    return lake.report(_lake(spark, sf_dir), source).select("name", "status", "observed", "expected")
+
+
+def _kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = {e.name: _rebuilt(spark, sf_dir, e).current for e in CURATED}
+    daily = marts.daily_order_payment(current["orders"], current["payments"], current["refunds"], _clock())
+    return _plain(quality.kpi_reconciliation(current, daily))
+
+
+def _lake_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _lake(spark, sf_dir)
+    return quality._union([lake.counts(store, layer) for layer in LAYERS])
+
+
+def _transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality._union([events.transitions(_rebuilt(spark, sf_dir, e).history, e) for e in CURATED])
 
 
 def _count_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +192,7 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "bronze_event_id": lambda s, d: _raw(s, d, "orders").select(F.get_json_object("key_json", "$.id").cast("bigint").alias("order_id"), "kafka_offset", "event_id"),
+    "bronze_order_rows": _raw_order_rows,
     "bronze_envelope_fields": lambda s, d: _raw(s, d).select("source_table", "kafka_offset", "op", "source_lsn", "source_tx_id"),
     "bronze_route_counts": lambda s, d: _raw(s, d).groupBy("source_table").agg(F.count(F.lit(1)).alias("n")),
     "bronze_duplicate_event_id": lambda s, d: quality.duplicate_event_ids(_raw(s, d)).agg(F.count(F.lit(1)).alias("duplicate_groups")),
@@ -186,6 +223,9 @@ QUERIES: dict[str, Query] = {
     "dq_all_checks": _all_checks,
     "stream_bronze_counts": _stream_counts,
     "stream_upsert_current": _stream_current,
-    "ext_state_transitions": lambda s, d: events.transitions(_rebuilt(s, d, ORDERS).history, ORDERS),
+    "ext_state_transitions": _transitions,
+    "ext_invalid_events": lambda s, d: events.invalid(_raw(s, d, "orders"), ORDERS, _clock()).select("entity", "reason", "kafka_offset", "event_id"),
+    "dq_kpi_reconciliation": _kpis,
+    "lake_table_counts": _lake_counts,
     "events_props_json": _props,
 }

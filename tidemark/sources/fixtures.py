@@ -6,14 +6,27 @@ same JSON encoding as captured changes; the state tables feed marts and checks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _start() -> Column:
+    """When masters and odd records begin."""
+    return F.expr("timestamp '2023-01-01 00:00:00'")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out, as a log's many partitions would be."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if len(rows.inputFiles()) < n else rows
+
+
 def _log(events: DataFrame, table: str, record: dict[str, Column]) -> DataFrame:
     """Records from rows with id, e, op, lsn, tx, ts (timestamp): partition id % 3, offset 4 * id + e."""
     _e = F.col("e")
@@ -42,11 +55,11 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("final", final)
 
 
-def _expanded(rows: DataFrame, deleted: Column, third: Column, base: int) -> DataFrame:
+def _expanded(rows: DataFrame, deleted: Column, third: Column, base: int, most: int = 2) -> DataFrame:
     """Up to three events for each id, with operation and log position; e = 0 twice where id % 13 = 0."""
     _e = F.col("e")
-    numbers = F.when(third, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(1)))
-    e = rows.withColumn("e", F.explode(numbers))
+    numbers = F.when(third, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(*map(F.lit, range(most))))
+    e = _spread(rows).withColumn("e", F.explode(numbers))
     copies = F.when((_e == 0) & (F.col("id") % 13 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     e = e.withColumn("_copy", F.explode(copies)).drop("_copy")
     op = F.when(_e == 0, F.when(F.col("id") % 5 == 0, "r").otherwise("c")).when((_e == 2) & deleted, "d").otherwise("u")
@@ -61,7 +74,50 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _expanded(rows, _k % 7 == 0, (_k % 2 == 1) | (_k % 7 == 0), 1000)
     status = F.when(_e == 0, "CREATED").when(_e == 1, "PENDING_PAYMENT").otherwise(F.col("final"))
     record = {"order_id": _k, "customer_id": F.col("cust"), "order_status": status, "currency": F.lit("KRW"), "total_amount": F.col("amount").cast("string"), "ordered_at": F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss'Z'")}
-    return _log(e, "orders", record)
+    return _log(e, "orders", record).unionByName(_keyless(spark, sf_dir, record))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few rows for odd records: id is null, r counts."""
+    r = _read(spark, sf_dir, "region").select(F.lit(None).cast("bigint").alias("id"), F.col("r_regionkey").cast("bigint").alias("r"))
+    return r.withColumns({"e": F.lit(0), "op": F.lit("u"), "lsn": F.col("r"), "tx": F.col("r"), "ts": _start()})
+
+
+def _placed(rows: DataFrame, base: int, r: str = "r") -> DataFrame:
+    return rows.withColumns({"partition": F.lit(0), "offset": F.lit(base).cast("bigint") + F.col(r)}).drop(r)
+
+
+def _keyless(spark: SparkSession, sf_dir: str, record: dict[str, Column]) -> DataFrame:
+    """Events of orders whose record has no key."""
+    image = {name: F.lit("CREATED" if name == "order_status" else "KRW" if name == "currency" else None) for name in record}
+    rows = _log(_numbered(spark, sf_dir), "orders", image | {"order_id": F.lit(None).cast("bigint")})
+    return _placed(rows.withColumn("r", F.get_json_object("value", "$.source.lsn").cast("bigint")), 900_000_000_000)
+
+
+def odd_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the raw layer doesn't take: tombstones, a table that isn't known, text that isn't JSON."""
+    plain = _numbered(spark, sf_dir).select(F.lit("{}").alias("key"), F.lit("cdc.public.orders").alias("topic"), F.col("ts").alias("timestamp"), "r")
+    values = (F.lit(None).cast("string"), F.lit('{"op":"c","source":{"table":"regions","lsn":1,"txId":1},"ts_ms":1}'), F.lit('{"op":"c","source":{"table":"orders"'))
+    parts = [_placed(plain.withColumn("value", v), 910_000_000_000 + k * 1000).select("key", "value", "topic", "partition", "offset", "timestamp") for k, v in enumerate(values)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def customer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", _start().alias("day"))
+    e = _expanded(rows, F.lit(False), F.lit(False), 1000)
+    return _log(e, "customers", {"customer_id": F.col("id"), "customer_name": F.col("c_name"), "customer_status": F.lit("ACTIVE")})
+
+
+def product_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_retailprice").cast("decimal(12,2)").cast("string").alias("price"), _start().alias("day"))
+    e = _expanded(rows, F.lit(False), F.lit(False), 1000, 1)
+    return _log(e, "products", {"product_id": F.col("id"), "product_name": F.col("p_name"), "unit_price": F.col("price")})
+
+
+def item_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string").alias("amount"), _start().alias("day"))
+    e = _expanded(rows, F.lit(False), F.lit(False), 1000, 1)
+    return _log(e, "order_items", {"order_item_id": F.col("id"), "order_id": F.col("k"), "product_id": F.col("part"), "item_amount": F.col("amount")})
 
 
 def payment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +142,13 @@ def refund_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(e, "refunds", record)
 
 
+#: The log of each entity.
+LOGS = {"customers": customer_log, "products": product_log, "orders": order_log, "order_items": item_log, "payments": payment_log, "refunds": refund_log}
+
+
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All three logs."""
-    return order_log(spark, sf_dir).unionByName(payment_log(spark, sf_dir)).unionByName(refund_log(spark, sf_dir))
+    """The logs of all entities, and the odd records."""
+    return reduce(DataFrame.unionByName, [*(log(spark, sf_dir) for log in LOGS.values()), odd_log(spark, sf_dir)])
 
 
 def _times(*names: str) -> dict[str, Column]:

@@ -8,15 +8,11 @@ from tidemark.model import LOG_RECORD
 from tidemark.session import Settings
 
 
-def topics(conf: Settings) -> str:
-    """The topics to subscribe to, joined by commas."""
+def _options(conf: Settings, **more: str) -> dict[str, str]:
     if not conf.topics:
         raise ValueError("no topics are configured")
-    return ",".join(conf.topics)
-
-
-def _options(conf: Settings) -> dict[str, str]:
-    return {"kafka.bootstrap.servers": conf.brokers, "subscribe": topics(conf), "startingOffsets": conf.starting_offsets, "failOnDataLoss": str(conf.fail_on_data_loss).lower()}
+    where = {"kafka.bootstrap.servers": conf.brokers, "subscribe": ",".join(conf.topics)}
+    return where | {"startingOffsets": conf.starting_offsets, "failOnDataLoss": str(conf.fail_on_data_loss).lower()} | more
 
 
 def broker_stream(spark: SparkSession, conf: Settings) -> DataFrame:
@@ -25,7 +21,7 @@ def broker_stream(spark: SparkSession, conf: Settings) -> DataFrame:
 
 def broker_batch(spark: SparkSession, conf: Settings) -> DataFrame:
     """All records up to now."""
-    return spark.read.format("kafka").options(**_options(conf) | {"endingOffsets": "latest"}).load()
+    return spark.read.format("kafka").options(**_options(conf, endingOffsets="latest")).load()
 
 
 def file_stream(spark: SparkSession, path: str, files_each: int = 100) -> DataFrame:
@@ -37,10 +33,10 @@ def file_batch(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_RECORD).parquet(path)
 
 
-def source_tables(spark: SparkSession, url: str, tables: list[str], prefix: str = "src_", **options: str) -> dict[str, DataFrame]:
-    """Tables of the source database over JDBC, registered as views."""
+def source_tables(spark: SparkSession, tables: list[str], options: dict[str, str], prefix: str = "src_", schema: str = "public.") -> dict[str, DataFrame]:
+    """Tables of the source database over JDBC (``options``: url, user, password, driver), registered as views."""
     found = {}
     for t in tables:
-        found[t] = spark.read.format("jdbc").options(url=url, dbtable=f"public.{t}", **options).load()
+        found[t] = spark.read.format("jdbc").options(dbtable=f"{schema}{t}", **options).load()
         found[t].createOrReplaceTempView(f"{prefix}{t}")
     return found
