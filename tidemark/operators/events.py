@@ -63,6 +63,12 @@ def latest(valid: DataFrame, entity: Entity) -> DataFrame:
     return valid.withColumn("_rank", F.row_number().over(top)).filter("_rank = 1").drop("_rank")
 
 
+def labelled(classified: DataFrame, entity: Entity) -> DataFrame:
+    """Classified events with ``is_latest``, true for the newest valid one of each key; on the same partitioning."""
+    top = Window.partitionBy(entity.key, "is_stale").orderBy(*freshest_first())
+    return classified.withColumn("is_latest", (F.row_number().over(top) == 1) & ~F.col("is_stale"))
+
+
 def current(valid: DataFrame, entity: Entity, clock: Column | None = None) -> DataFrame:
     """The newest state of each key; deleted keys stay, marked."""
     now = F.current_timestamp() if clock is None else clock
