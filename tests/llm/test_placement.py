@@ -94,3 +94,44 @@ def test_recall_on_planted_pairs_over_many_shards(spark):
     true = near.sum(1)
     assert n // 2 > flatgraph.TARGET and true.sum() >= 2 * n  # there are links to find, in labels of several shards
     assert sum(min(links[i], int(true[i])) for i in range(2 * n)) >= 0.97 * true.sum() and all(links[i] <= true[i] for i in range(2 * n))
+
+
+@pytest.mark.parametrize("n,shards,replicas,ranked", [(0, 3, 4, 10), (500, 7, 5, 10), (500, 7, 5, 100_000), (60, 40, 8, 5)])
+def test_equals_a_walk(spark, monkeypatch, n, shards, replicas, ranked):
+    """Node by node clockwise, what is over a node's quota waits in a line for the next room."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ring, "RANKED", ranked)
+    rows = [(None if i % 3 == 0 else i % 50, "t" * (i % 7)) for i in range(n)]  # a third without an id, many alike
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = sorted((r.node, r.shard, r.cell) for r in ring.nodes(spark, shards, replicas).collect())
+    keyed = table.select("doc_id", F.octet_length("text").alias("b"), F.pmod(F.xxhash64(F.lit("key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))), F.lit(ring.CELLS)).alias("cell")).collect()
+    at = [[] for _ in nodes]
+    for r in keyed:
+        ahead = [(c, k) for k, _, c in nodes if c >= r.cell]
+        cell = min(ahead)[0] if ahead else min(c for _, _, c in nodes)
+        at[max(k for k, _, c in nodes if c == cell)].append((r.doc_id, r.b))
+    quota = [0] * len(nodes)
+    for s in range(shards):
+        mine = [k for k, x, _ in nodes if x == s]
+        cap, total = n // shards + (s < n % shards), sum(len(at[k]) for k in mine)
+        shares = [0] + [cap * (i + 1) // len(mine) if not total else sum(len(at[k]) for k in mine[: i + 1]) * cap // total for i in range(len(mine))]
+        for i, k in enumerate(mine):
+            quota[k] = shares[i + 1] - shares[i]
+    stay = [min(len(a), q) for a, q in zip(at, quota)]
+    got, line = [0] * len(nodes), 0
+    for _ in range(2):  # twice round: what waits at the end goes on at the start
+        for k in range(len(nodes)):
+            line += max(0, len(at[k]) - quota[k]) if _ == 0 else 0
+            room = quota[k] - stay[k] - got[k]
+            got[k], line = got[k] + min(room, line), line - min(room, line)
+    by_shard = [sum(stay[k] + got[k] for k, x, _ in nodes if x == s) for s in range(shards)]
+    found = ring.shard(table, shards, replicas).collect()
+    assert sorted(map(repr, ((r.doc_id, r.size) for r in found))) == sorted(map(repr, ((i, len(t) + 16) for i, t in rows)))
+    assert [sum(r.shard == s for r in found) for s in range(shards)] == by_shard
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(by_shard[s])) for s in range(shards))
+    # Rows that stay: of every id at least as many as its node has room for are on that node's shard.
+    for k, shard, _ in nodes:
+        here = {repr(x) for x in at[k]}
+        own = sum(repr((r.doc_id, r.size - 16)) in here and r.shard == shard for r in found)
+        assert own >= stay[k]

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 _M, _A, _B = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Distinct pre-tokens remembered by a worker before the memory is emptied.
 MEMORY = 600_000
+#: Characters of the longest word that is remembered, so that the memory is bounded in bytes too.
+REMEMBERED = 48
 _CUT = re.compile(r" (?=\S)(?<=\S )").split
 
 
@@ -140,6 +142,8 @@ class Codec:
     def spaced(self, word: str) -> tuple[int, ...]:
         """Ids of a word after its space, remembered."""
         ids = self.stretch(" " + word)
+        if len(word) > REMEMBERED:
+            return ids
         if len(self.memo) >= MEMORY:
             self.memo.clear()
         self.memo[word] = ids

@@ -8,7 +8,9 @@ clockwise to the next node with room. Only what overflows moves.
 
 What passes each node follows from the counts at the nodes alone (a queue's recursion:
 a running minimum of prefix sums), so the sequential walk becomes window functions over
-a table of ``shards * replicas`` rows, and rows need one shuffle of ids, without texts.
+a table of ``shards * replicas`` rows. Rows are numbered at their node without texts: equal
+rows (id, size and checksum) are one with a count, and a node of over RANKED rows is numbered
+in that many pieces, dealt by a hash of the whole row, so that no id makes a task large.
 
 Null ids hash like any value (all to one position), repeated rows are placed one by one,
 null text has size ``overhead``, an empty table gives an empty result, and further
@@ -24,6 +26,8 @@ from tidemark.llm.scratch import written
 
 #: Positions on the ring; the tables over it are broadcast and have at most so many rows.
 CELLS = 1 << 16
+#: Rows that are numbered in one piece, about.
+RANKED = 100_000
 
 
 def _cell(*cols: Column) -> Column:
@@ -102,10 +106,18 @@ def shard(docs: DataFrame, shards: int = 40, replicas: int = 128, overhead: int
     pieces = written(flow(ring, arrivals, shards), "ring-pieces")
     body = F.coalesce(docs[text_col], F.lit("")).cast("binary")
     rows = docs.select(docs[id_col].alias("doc_id"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(F.lit("key"), ident).alias("key"))
-    rows = rows.withColumn("cell", F.pmod("key", F.lit(CELLS)).cast("int")).join(owner, "cell")
-    order = Window.partitionBy("node").orderBy("cell", "key", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("r", (F.row_number().over(order) - 1).cast("long"))
-    placed = ranked.join(F.broadcast(pieces), "node").filter("r >= lo and r < hi")
+    alike = rows.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count(F.lit(1)).alias("copies"))
+    cuts = F.broadcast(written(arrivals.select("node", F.ceil(F.col("n") / RANKED).alias("cuts")), "ring-cuts"))  # a row per node
+    dealt = alike.withColumn("cell", F.pmod("key", F.lit(CELLS)).cast("int")).join(owner, "cell").join(cuts, "node")
+    dealt = written(dealt.withColumn("piece", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.col("cuts"))), "ring-rows")
+    # A row for each piece: the input's rows over RANKED, and one a node.
+    sizes = dealt.groupBy("node", "piece").agg(F.sum("copies").alias("n"))
+    before = Window.partitionBy("node").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("node", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    order = Window.partitionBy("node", "piece").orderBy("cell", "key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("upto", F.sum("copies").over(order)).join(starts, ["node", "piece"]).withColumn("first", F.col("start") + F.col("upto") - F.col("copies"))
+    placed = ranked.join(F.broadcast(pieces), "node").withColumns({"x": F.greatest("first", "lo"), "y": F.least(F.col("first") + F.col("copies"), "hi")}).filter("x < y")
+    placed = placed.withColumn("r", F.explode(F.sequence("x", F.col("y") - 1)))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") + F.col("r") - F.col("lo")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

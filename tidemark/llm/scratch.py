@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,16 +33,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
+def input_bytes(df: DataFrame, text_col: str = "text") -> int:
     """Bytes of the scans below ``df`` by the optimizer's statistics, for sizing partitions.
 
-    Leaves without statistics (they report the largest long) count as nothing.
+    Where a leaf has no statistics (it reports the largest long), the bytes of the texts are
+    summed up instead, by one pass.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(n for n in sizes if n < 1 << 60)
+    if all(n < 1 << 60 for n in sizes):
+        return sum(sizes)
+    return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
-def parts_for(df: DataFrame, bytes_each: int, least: int = 12, most: int = 200_000) -> int:
-    """How many partitions give about ``bytes_each`` of input to each."""
-    return max(least, min(most, -(-input_bytes(df) // bytes_each)))
+def parts_for(df: DataFrame, bytes_each: int, least: int = 12) -> int:
+    """How many parts give about ``bytes_each`` of input to each."""
+    return max(least, -(-input_bytes(df) // bytes_each))
