@@ -46,3 +46,29 @@ def test_long_runs_of_words_that_mirror_each_other(docs):
     x, y = (" ".join(w) for w in _opposites(2048))
     rows = [(1, x), (2, y), (3, "z " + x)]
     assert sorted(map(tuple, substrings.digests(docs(rows), 1500).collect()), key=repr) == cut_repeats(rows, 1500)
+
+
+@pytest.mark.parametrize("length", [1, 3, 17, 40, 90])
+def test_levels(docs, length, monkeypatch):
+    """From one word to several doublings, also with more cells than partitions and packs of a few entries."""
+    from tidemark.llm import exchange
+
+    lengths = substrings.levels(length)
+    assert lengths[-1] == length and lengths[0] <= 16 and all(a <= b <= 2 * a for a, b in zip(lengths, lengths[1:]))
+    monkeypatch.setattr(exchange, "MOST", 5)
+    rng = random.Random(length)
+    word = lambda n: [rng.choice("abcdefghijklmnop") + rng.choice("qrstuvw") for _ in range(n)]
+    common = [word(rng.randint(length // 2, length * 3)) for _ in range(6)]
+    rows = [(i, " ".join(word(rng.randint(0, 60)) + rng.choice(common)[rng.randint(0, length) :] + word(rng.randint(0, 9)))) for i in range(60)]
+    rows += [(100, " ".join(common[0] * 3)), (101, " ".join(word(300))), (102, None)]
+    got = sorted(map(tuple, substrings.digests(docs(rows), length).collect()), key=repr)
+    assert got == cut_repeats(rows, length)
+
+
+def test_nothing_survives_a_level(docs):
+    """All that repeats is shorter than the second of the longer levels."""
+    rng = random.Random(1)
+    shared = [f"s{i}" for i in range(45)]
+    rows = [(i, " ".join([*(f"x{i}_{k}" for k in range(150)), *shared, *(f"y{i}_{k}" for k in range(rng.randint(100, 200)))])) for i in range(5)]
+    got = sorted(map(tuple, substrings.digests(docs(rows), 200).collect()), key=repr)
+    assert got == cut_repeats(rows, 200) and all(r[2] == 0 for r in got)

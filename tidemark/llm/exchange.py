@@ -25,15 +25,22 @@ BLOB = "pid int, data binary"
 
 
 class Packer:
-    """Collects entries and splits them by cell. A key sent as 32 bits is cut to its upper half."""
+    """Collects entries and splits them by cell. A key sent as 32 bits is cut to its upper half.
 
-    def __init__(self, parts: int, kinds: Sequence[str]):
+    With ``spread``, for reducers that only ask which keys occur more than once: of a key that
+    occurs often among what is held, two entries go to the key's cell and the others, which are
+    surely repeated, to cells by their second column. The last column, a byte, says which.
+    """
+
+    def __init__(self, parts: int, kinds: Sequence[str], spread: bool = False):
         self.parts, self.kinds, self.held, self.n = parts, [np.dtype(k) for k in kinds], [], 0
+        self.spread = spread
         self.limit = max(HOLD, min(HOLD_EACH * parts, HOLD_MOST))
 
     def add(self, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(cols[0]):
             pid = (cols[0] % np.uint64(self.parts)).astype(np.int32)
+            cols = (*cols, np.zeros(len(pid), np.uint8)) if self.spread else cols
             first = cols[0] >> np.uint64(32) if self.kinds[0].itemsize == 4 else cols[0]
             self.held.append([pid, *(c.astype(k, copy=False) for c, k in zip((first, *cols[1:]), self.kinds))])
             self.n += len(cols[0])
@@ -45,6 +52,11 @@ class Packer:
             return
         pid, *cols = (np.concatenate(c) for c in zip(*self.held))
         self.held, self.n = [], 0
+        if self.spread:
+            order, cut = groups(cols[0])
+            sizes = np.diff(np.append(cut, len(order)))
+            extra = order[np.arange(len(order)) - np.repeat(cut, sizes) >= 2]
+            pid[extra], cols[-1][extra] = (cols[1][extra].view(np.uint64) % np.uint64(self.parts)).astype(np.int32), 1
         order = np.argsort(pid, kind="stable")
         pid, cols = pid[order], [c[order] for c in cols]
         cut = np.flatnonzero(np.concatenate([[True], pid[1:] != pid[:-1]]))

@@ -1,18 +1,22 @@
 """Repeated-passage removal by level-wise doubling.
 
 A passage is a window of ``length`` words that starts at two places or more, of one
-document or of several. The search goes up in levels of doubled length:
-
-1. Of every window's quarter-length stretches the one with the least hash is an anchor
-   (a repeated window has equal anchors at equal offsets, so nothing is lost and few
-   positions travel). Anchors that occur once are dropped.
-2. Surviving anchors are extended to twice their length, forwards or backwards as fits
-   into a window; those that occur once are dropped.
-3. Around what survives, every window of the full length (the second doubling, cut to
-   it) is compared. Documents without survivors never leave their task.
+document or of several. The search goes up in levels, each of twice the length before (the
+last cut to ``length``), from one of some 16 words or less; all windows inside a repeated
+one are repeated, so what occurs once at one level needs no look at the next:
+
+* Of every window's shortest stretches the one with the least hash is an anchor (a repeated
+  window has equal anchors at equal offsets, so nothing is lost and few positions travel).
+  Anchors that occur once are dropped.
+* Surviving anchors are extended to twice their length, forwards or backwards as fits
+  into a window; those that occur once are dropped. Documents without survivors never leave
+  their task.
+* Around what survives, the windows of the next length are compared, until that is the full
+  length or no candidate survives.
 
 Equal texts are one text with a multiplicity, merged within each task before any shuffle.
-Entries are compared by 64-bit hashes, at the last level by 96 bits.
+Of entries that a task has seen repeated already only two are compared, so a passage of very
+many documents doesn't meet in one task. Entries are compared by 64-bit hashes, windows by 96.
 
 Words are cut at white space and compared unchanged. Null and empty texts have no words;
 texts shorter than the length lose nothing; an equal text elsewhere (also a repeated row)
@@ -25,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +55,14 @@ def _running(x: np.ndarray, width: int, pick: Callable) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def levels(length: int) -> list[int]:
+    """Lengths of the levels, three at least: halves of the full length, rounded up."""
+    found = [length]
+    while len(found) < 3 or found[0] > 16:
+        found.insert(0, (found[0] + 1) // 2)
+    return [found[0], min(2 * found[0], length), *found[2:]]
+
+
 def anchors(w: textops.Words, length: int, short: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, document, hash) of stretches of ``short`` words that are least in some window."""
     starts, doc = textops.window_starts(w.bounds, length)
@@ -69,12 +82,12 @@ def anchors(w: textops.Words, length: int, short: int) -> tuple[np.ndarray, np.n
 
 
 def _survivors(cols: list[np.ndarray]) -> np.ndarray:
-    """Indexes of entries whose key occurs more than once."""
+    """Indexes of entries whose key occurs more than once, or was seen to where they come from."""
     order = np.argsort(cols[0], kind="stable")
     k = cols[0][order]
-    same = np.zeros(len(k), bool)
-    same[1:] = k[1:] == k[:-1]
-    same[:-1] |= same[1:]
+    same = cols[-1][order] > 0
+    same[1:] |= k[1:] == k[:-1]
+    same[:-1] |= k[1:] == k[:-1]
     return order[same]
 
 
@@ -89,12 +102,12 @@ def _fresh(ids: list[int], seen: Counter) -> list[int]:
 
 
 def _candidates(texts: DataFrame, length: int, parts: int, blocks: int) -> DataFrame:
-    """Levels one and two: (tid, positions of surviving anchors as int32), one row per text."""
-    short = (length + 3) // 4
-    first, second, last = ["u8", "i8", "i4", "u8", "u8"], ["u8", "i8", "i4"], ["u8", "i4"]
+    """The first two levels: (tid, positions of surviving anchors as int32), one row per text."""
+    short, twice, *_ = levels(length)
+    first, second, last = ["u8", "i8", "i4", "u8", "u8", "u1"], ["u8", "i8", "i4", "u1"], ["u8", "i4"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen = exchange.Packer(parts, first), Counter()
+        out, seen = exchange.Packer(parts, first, spread=True), Counter()
         for batch in batches:
             batch = batch.take(pa.array(_fresh(batch.column(0).to_pylist(), seen), pa.int32()))
             for part in textops.chunks(batch, "text"):
@@ -102,16 +115,16 @@ def _candidates(texts: DataFrame, length: int, parts: int, blocks: int) -> DataF
                 pos, doc, h = anchors(w, length, short)
                 n, here = w.counts[doc], pos - w.bounds[doc]
                 ahead, back = np.zeros(len(pos), U), np.zeros(len(pos), U)
-                ok = here + 2 * short <= n
-                ahead[ok] = textops.windows(w.hash, pos[ok], 2 * short) | U(1)
-                ok = here >= short
-                back[ok] = textops.windows(w.hash, pos[ok] - short, 2 * short) | U(1)
+                ok = here + twice <= n
+                ahead[ok] = textops.windows(w.hash, pos[ok], twice) | U(1)
+                ok = here >= twice - short
+                back[ok] = textops.windows(w.hash, pos[ok] - (twice - short), twice) | U(1)
                 tid = np.array(part.column(0), np.int64)[doc]
                 yield from out.add(textops.mix(h), tid, here, ahead, back)
         yield from out.flush()
 
     def double(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        out = exchange.Packer(parts, second)
+        out = exchange.Packer(parts, second, spread=True)
         at = _survivors(cols)
         for k in (3, 4):
             some = at[cols[k][at] != 0]
@@ -179,87 +192,126 @@ def _blocks(texts: DataFrame, cands: DataFrame, blocks: int) -> DataFrame:
 
     rows = "pid int, tid long, text string, pos binary"
     both = texts.mapInArrow(send, rows).unionByName(cands.mapInArrow(send_pos, rows))
-    return both.repartitionById(blocks, both.pid).mapInArrow(merge, "src long, tids array<long>, mults array<int>, texts array<string>, poss array<binary>")
+    return exchange.dealt(both, blocks).mapInArrow(lambda batches: (row for cell in exchange.cells(batches) for row in merge(iter(cell))), "src long, tids array<long>, mults array<int>, texts array<string>, poss array<binary>")
 
 
-def _last_windows(texts: pa.Array, poss: list[bytes], length: int) -> tuple[textops.Words, np.ndarray, np.ndarray]:
-    """Windows of the full length around surviving anchors: words, starts, documents; in fixed order."""
-    w = textops.words(texts)
-    short = (length + 3) // 4
-    mark = np.zeros(len(w.hash) + 1, np.int64)
-    for d, p in enumerate(poss):
-        if p:
-            at = np.frombuffer(p, np.int32).astype(np.int64)
-            n = w.bounds[d + 1] - w.bounds[d]
-            np.add.at(mark, w.bounds[d] + np.maximum(at - (length - short), 0), 1)
-            np.add.at(mark, w.bounds[d] + np.minimum(at, n - length) + 1, -1)
-    starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-    return w, starts, np.searchsorted(w.bounds, starts, side="right") - 1
+@dataclass
+class _Windows:
+    """Windows of ``length`` words around surviving stretches of ``have`` words in some texts; in fixed order.
 
+    ``entry`` says which of the different windows (``key``, ``check``) each start has, and
+    ``many`` which of those occur more than once here.
+    """
 
-def _find(blocks: DataFrame, length: int, parts: int) -> DataFrame:
-    """Level three: (src, pid, mask): a bit for each window of a block, in the order it sent them."""
+    words: textops.Words
+    starts: np.ndarray
+    entry: np.ndarray
+    key: np.ndarray
+    check: np.ndarray
+    many: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, poss: list[bytes], have: int, length: int) -> _Windows:
+        w = textops.words(texts)
+        mark = np.zeros(len(w.hash) + 1, np.int64)
+        for d, p in enumerate(poss):
+            n = w.bounds[d + 1] - w.bounds[d]
+            if p and n >= length:
+                at = np.frombuffer(p, np.int32).astype(np.int64)
+                np.add.at(mark, w.bounds[d] + np.maximum(at - (length - have), 0), 1)
+                np.add.at(mark, w.bounds[d] + np.minimum(at, n - length) + 1, -1)
+        starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        key = textops.windows(w.hash, starts, length)
+        check = (textops.windows(w.hash ^ _CHECK_SALT, starts, length) >> U(32)).astype(np.uint32)
+        order, cut = exchange.groups(key, check)
+        sizes = np.diff(np.append(cut, len(order)))
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.repeat(np.arange(len(cut)), sizes)
+        return cls(w, starts, entry, key[order[cut]], check[order[cut]], sizes > 1)
+
+    def dealt(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The different windows in order of their cells, and where each cell begins."""
+        pid = (self.key % U(parts)).astype(np.int32)
+        order = np.argsort(pid, kind="stable")
+        return order, np.flatnonzero(np.concatenate([[True], pid[order][1:] != pid[order][:-1]])) if len(pid) else np.zeros(0, np.int64)
+
+    def hits(self, masks: list[dict] | None, parts: int) -> np.ndarray:
+        """The starts of the windows that are repeated, here or by what the cells say."""
+        hit = self.many.copy()
+        order, cut = self.dealt(parts)
+        ends = np.append(cut[1:], len(order))
+        place = {int(p): (a, b) for p, a, b in zip(self.key[order[cut]] % U(parts), cut, ends)}
+        for m in masks or []:
+            a, b = place[m["pid"]]
+            hit[order[a:b]] |= np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=b - a).astype(bool)
+        return self.starts[hit[self.entry]]
+
+
+def _find(blocks: DataFrame, have: int, length: int, parts: int) -> DataFrame:
+    """One level: (src, pid, mask): a bit for each window that a block sent to a cell; only where one is set."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, src in enumerate(batch.column(0).to_pylist()):
-                w, starts, _ = _last_windows(batch.column(1)[k].values, batch.column(2)[k].as_py(), length)
-                key = textops.windows(w.hash, starts, length)
-                check = (textops.windows(w.hash ^ _CHECK_SALT, starts, length) >> U(32)).astype(np.uint32)
-                pid = (key % U(parts)).astype(np.int32)
-                order = np.argsort(pid, kind="stable")
-                cut = np.searchsorted(pid[order], np.arange(parts + 1))
-                some = np.flatnonzero(np.diff(cut))
-                data = [key[order[cut[p] : cut[p + 1]]].tobytes() + check[order[cut[p] : cut[p + 1]]].tobytes() for p in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), src)), pa.array(data, pa.binary())], ["pid", "src", "data"])
+                w = _Windows.of(batch.column(1)[k].values, batch.column(2)[k].as_py(), have, length)
+                order, cut = w.dealt(parts)
+                cols = [c[order] for c in (w.key, w.check, w.many.astype(np.uint8))]
+                data = [b"".join(c[a:b].tobytes() for c in cols) for a, b in zip(cut, np.append(cut[1:], len(order)))]
+                pid = (cols[0][cut] % U(parts)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), pa.array(np.full(len(cut), src)), pa.array(data, pa.binary())], ["pid", "src", "data"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        srcs, keys, checks, pid = [], [], [], 0
-        for batch in batches:
-            for p, s, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raw = np.frombuffer(value.as_buffer(), np.uint8)
-                n = len(raw) // 12
-                pid = p
-                srcs.append(s)
-                keys.append(raw[: 8 * n].view(np.uint64))
-                checks.append(raw[8 * n :].view(np.uint32))
-        if not srcs:
-            return
-        key, check = np.concatenate(keys), np.concatenate(checks)
-        order = np.lexsort((check, key))
-        a, b = key[order], check[order]
-        same = np.zeros(len(a), bool)
-        same[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        same[:-1] |= same[1:]
-        flag = np.empty(len(a), bool)
-        flag[order] = same
-        edge = np.cumsum([0, *map(len, keys)])
-        masks = [np.packbits(flag[lo:hi]).tobytes() for lo, hi in zip(edge[:-1], edge[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(srcs, pa.int64()), pa.array([pid] * len(srcs), pa.int32()), pa.array(masks, pa.binary())], ["src", "pid", "mask"])
+        for cell in exchange.cells(batches):
+            srcs = np.concatenate([np.array(b.column(1)) for b in cell])
+            sizes = [len(v.as_buffer()) // 13 for b in cell for v in b.column(2)]
+            pid = cell[0].column(0)[0].as_py()
+            key, check, many = exchange.unpack(iter(cell), ["u8", "u4", "u1"], 2)
+            order, cut = exchange.groups(key, check)
+            each = np.diff(np.append(cut, len(order)))
+            flag = np.empty(len(key), bool)
+            flag[order] = np.repeat((each > 1) | (np.maximum.reduceat(many[order], cut) > 0), each)
+            edge = np.cumsum([0, *sizes]).tolist()
+            set_ = [k for k, (lo, hi) in enumerate(zip(edge[:-1], edge[1:])) if flag[lo:hi].any()]
+            masks = [np.packbits(flag[edge[k] : edge[k + 1]]).tobytes() for k in set_]
+            yield pa.RecordBatch.from_arrays([pa.array(srcs[set_], pa.int64()), pa.array([pid] * len(set_), pa.int32()), pa.array(masks, pa.binary())], ["src", "pid", "mask"])
 
     sent = blocks.select("src", "texts", "poss").mapInArrow(send, "pid int, src long, data binary")
-    return sent.repartitionById(parts, sent.pid).mapInArrow(compare, "src long, pid int, mask binary")
+    return exchange.dealt(sent, parts).mapInArrow(compare, "src long, pid int, mask binary")
+
+
+def _with_masks(blocks: DataFrame, masks: DataFrame) -> DataFrame:
+    by_src = masks.groupBy("src").agg(F.collect_list(F.struct("pid", "mask")).alias("masks"))  # one small mask per cell
+    return blocks.join(by_src, "src", "left")
+
+
+def _narrow(blocks: DataFrame, masks: DataFrame, have: int, length: int, parts: int) -> DataFrame:
+    """The blocks with the starts of repeated windows of ``length`` as what survives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                w = _Windows.of(batch.column(3)[k].values, batch.column(4)[k].as_py(), have, length)
+                hit, bounds = w.hits(batch.column(5)[k].as_py(), parts), w.words.bounds
+                left = np.split(hit, np.searchsorted(hit, bounds[1:-1]))
+                poss = [(x - lo).astype(np.int32).tobytes() for x, lo in zip(left, bounds[:-1])]
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:4]), pa.array([poss], pa.list_(pa.binary()))], ["src", "tids", "mults", "texts", "poss"])
+
+    joined = _with_masks(blocks, masks).select("src", "tids", "mults", "texts", "poss", "masks")
+    return joined.mapInArrow(run, blocks.select("src", "tids", "mults", "texts", "poss").schema)
 
 
-def _cut(blocks: DataFrame, masks: DataFrame, length: int, parts: int) -> DataFrame:
+def _cut(blocks: DataFrame, masks: DataFrame, have: int, length: int, parts: int) -> DataFrame:
     """(tid, n_words, n_removed, kept) of every candidate text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 tids, mults, poss = (batch.column(c)[k].as_py() for c in (0, 1, 3))
-                w, starts, doc = _last_windows(batch.column(2)[k].values, poss, length)
-                key = textops.windows(w.hash, starts, length)
-                pid = (key % U(parts)).astype(np.int32)
-                order = np.argsort(pid, kind="stable")
-                cut = np.searchsorted(pid[order], np.arange(parts + 1))
-                hit = np.zeros(len(starts), bool)
-                for m in batch.column(4)[k].as_py() or []:
-                    at = order[cut[m["pid"]] : cut[m["pid"] + 1]]
-                    hit[at] = np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=len(at)).astype(bool)
+                found = _Windows.of(batch.column(2)[k].values, poss, have, length)
+                w, hit = found.words, found.hits(batch.column(4)[k].as_py(), parts)
                 mark = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(mark, starts[hit], 1)
-                np.add.at(mark, starts[hit] + length, -1)
+                np.add.at(mark, hit, 1)
+                np.add.at(mark, hit + length, -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 body = w.buf.tobytes()
                 n, removed, kept = [], [], []
@@ -272,8 +324,7 @@ def _cut(blocks: DataFrame, masks: DataFrame, length: int, parts: int) -> DataFr
                     kept.append(b" ".join([body[a:b] for a, b in zip(w.start[left].tolist(), w.end[left].tolist())]).decode())
                 yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["tid", "n_words", "n_removed", "kept"])
 
-    by_src = masks.groupBy("src").agg(F.collect_list(F.struct("pid", "mask")).alias("masks"))  # one small mask per partition
-    joined = blocks.join(by_src, "src", "left").select("tids", "mults", "texts", "poss", "masks")
+    joined = _with_masks(blocks, masks).select("tids", "mults", "texts", "poss", "masks")
     return joined.mapInArrow(run, "tid long, n_words long, n_removed long, kept string")
 
 
@@ -286,8 +337,13 @@ def _search(docs: DataFrame, length: int, bytes_each: int) -> tuple[DataFrame, D
     flagged = idfilter.flagged(ided, cands, "__tid")
     chosen = flagged.filter("__cand and text is not null").drop("__cand")
     table = written(_blocks(chosen.select(F.col("__tid").alias("tid"), "text"), cands, blocks), "repeat-texts")
-    masks = written(_find(table, length, parts), "repeat-windows")
-    return flagged.filter("not __cand or text is null").drop("__cand"), chosen, written(_cut(table, masks, length, parts), "repeat-cuts")
+    have, _, *longer = levels(length)
+    for n in longer:
+        masks = written(_find(table, have, n, parts), "repeat-windows")
+        if n == length or masks.isEmpty():
+            break  # with nothing left at one length there is nothing at the full one
+        table, have = written(_narrow(table, masks, have, n, parts), "repeat-texts"), n
+    return flagged.filter("not __cand or text is null").drop("__cand"), chosen, written(_cut(table, masks, have, length, parts), "repeat-cuts")
 
 
 def digests(docs: DataFrame, length: int = 35, bytes_each: int = 4 << 20) -> DataFrame:
