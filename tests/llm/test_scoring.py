@@ -144,8 +144,7 @@ def test_toxicity_held_out(spark):
     held = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if _held(r.doc_id, 5)]
     assert len(got) == docs.count() and len(held) > 500
     hit = sum(t == p == 1 for t, p in held)
-    # About a fifth of the toxic labels of this table mark texts without any sign of it.
-    assert hit >= 0.75 * sum(t for t, _ in held) and hit >= 0.9 * sum(p for _, p in held)
+    assert hit >= 0.88 * sum(t for t, _ in held) and hit >= 0.9 * sum(p for _, p in held)
 
 
 def test_toxicity_edges(spark, docs):
@@ -163,11 +162,49 @@ def test_label_model_discounts_copies_of_a_voter():
     y = rng.random(4000) < 0.2
     one = (y & (rng.random(4000) < 0.7)) | (rng.random(4000) < 0.01)
     two = (y & (rng.random(4000) < 0.6)) | (rng.random(4000) < 0.01)
-    p, share = toxicity.label_model(np.stack([one, one, one, two], 1))
+    p, share = toxicity.label_model(np.stack([one, one, one, two], 1), np.ones(4))
     assert share[0] < 0.5 and share[3] == 1
     assert ((p > 0.5) == (one | two)).mean() > 0.97
 
 
+def test_label_model_corrects_marks():
+    """Marks are one voter of an accuracy that is estimated; voters against count too."""
+    rng = np.random.default_rng(9)
+    n = 5000
+    y = rng.random(n) < 0.2
+    mark = np.where(rng.random(n) < 0.12, ~y, y)
+    for_ = [(y & (rng.random(n) < 0.15)) | (rng.random(n) < 0.001) for _ in range(12)]
+    against = [(~y & (rng.random(n) < 0.35)) | (y & (rng.random(n) < 0.02)) for _ in range(6)]
+    p, _ = toxicity.label_model(np.stack([*for_, *against], 1), np.repeat([1, -1], [12, 6]), mark.astype(float))
+    right = lambda guess: (guess == y).mean()
+    assert right(mark) < 0.9 < 0.95 < right(p > 0.5)
+
+
+def test_classifier_knows_words_that_are_no_voters(spark, docs):
+    """A word that also occurs in clean texts doesn't vote, but counts."""
+    rng = np.random.default_rng(2)
+    rows, marks = [], []
+    for i in range(900):
+        bad = i % 5 == 0
+        w = [f"w{x}q" for x in rng.integers(0, 300, 30)]
+        w += ["zorkish"] * int(bad and rng.random() < 0.6) + ["blarg"] * int(rng.random() < (0.7 if bad else 0.1)) + ["gentle"] * int(not bad and rng.random() < 0.6)
+        rows.append((i, " ".join(w)))
+        marks.append((i, 1, int(bad)))
+    rows += [(5, "zorkish blarg")] * 300  # an id that repeats
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs(rows), labels)
+    texts = pa.array(["w1q w2q zorkish blarg", "w1q w2q blarg", "w1q w2q", "w1q w2q gentle", "w1q zorkish " + "w2q " * 20_000, None, ""])
+    hot, warm, plain, kind, long, null, empty = model.score(texts)
+    assert hot > warm > plain > kind and hot > 0.5 > plain and long > 0.5 and null == empty < 0.5
+
+
+def test_seed_lexicon_alone(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for some in (labels, labels.limit(0)):
+        model = toxicity.fit(docs([(1, "a"), (2, None)]), some)
+        assert (model.score(pa.array(["you Idiot!", "a fine day", None])) >= 0.5).tolist() == [True, False, False]
+
+
 def test_resampling(spark, docs):
     good = [(i, " ".join(["calm", "clear", "prose"][(i + j) % 3] for j in range(12))) for i in range(200)]
     bad = [(1000 + i, " ".join(["!!", "junk", "%%"][(i + j) % 3] for j in range(12))) for i in range(100)]

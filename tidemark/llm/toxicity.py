@@ -1,18 +1,25 @@
 """Toxicity by weak supervision.
 
-Voters are mined from training labels and a seed lexicon: single words (a lexicon) and
-prefixes of four to six bytes (patterns) that occur nearly only in rows marked toxic. A
-generative label model then learns, by expectation maximization without labels, how often
-each voter fires on toxic and on clean text, and which voters fire together given the
-class; voters that do share one vote. A linear classifier is trained on its posterior
-labels and scores every whole text in one narrow pass.
+Words and prefixes of four to six bytes are counted over the training rows, in all and in
+those marked toxic. Voters are chosen from them: words and prefixes that occur nearly only in
+rows marked toxic, and a seed lexicon, vote for toxic where they fire; those that shun such
+rows vote against; all abstain where they don't fire. A row's own mark is one more voter, which
+never abstains and may be wrong. A generative label model learns, by expectation maximization,
+how often each voter fires on toxic and on clean text, how often the mark is wrong, and, again
+and again, which voters fire together given the class; those that do share one vote.
+
+A linear classifier is trained on the posterior labels, with a penalty that leaves it few
+features. These are words and prefixes too, but they needn't be voters: it chooses among the
+``most_features`` that are most strongly associated with the marks, either way. It scores
+every whole text in one narrow pass, a feature counting once in a text.
 
 Only a bounded sample of at most ``most`` training rows is used for fitting. A word here
 is a run of letters (A-Z lower-cased, bytes of other scripts kept). Null and empty texts
-get the score of a text on which no voter fires. Rows with repeated ids are scored one by
-one; labels are reduced to one per id (the largest). Without training rows, or without
-toxic ones, only the seed lexicon votes. Empty tables give empty results; extra columns
-are ignored; labels, lang, source and doc_id are never inputs of a score.
+get the score of a text without any feature. Rows with repeated ids are scored one by
+one; for fitting they are reduced to one per id (the least text, the largest mark). Without
+training rows, or without toxic ones, any word of the seed lexicon makes a text toxic. Empty
+tables give empty results; extra columns are ignored; labels, lang, source and doc_id are
+never inputs of a score.
 """
 
 from __future__ import annotations
@@ -26,10 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import sample, textops
+from tidemark.llm.scratch import written
 
 #: A small general lexicon of insults.
 SEED_WORDS = ("clown", "disgusting", "dumb", "idiot", "idiotic", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 PREFIXES = (4, 5, 6)
+#: Share of toxic rows from which a feature votes for toxic; standard errors from which one counts as associated.
+PURE, ASSOCIATED = 0.9, 2.6
+#: Weight of a seed word where there is nothing to learn from, and the bias.
+SEED_WEIGHT, BIAS = 4.0, -2.0
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -43,7 +55,7 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 @dataclass
-class Voters:
+class Table:
     """Sorted feature hashes with a small filter before the search."""
 
     hashes: np.ndarray
@@ -53,7 +65,7 @@ class Voters:
         self.filter[(self.hashes >> textops.U(48)).astype(np.int64)] = True
 
     def fired(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(document, voter) pairs that fire, each once."""
+        """(document, feature) pairs that occur, each once."""
         pairs, m = [], max(1, len(self.hashes))
         for h, doc in features(texts):
             at = np.flatnonzero(self.filter[(h >> textops.U(48)).astype(np.int64)])
@@ -64,14 +76,21 @@ class Voters:
         return code // m, code % m
 
 
-def mine(train: DataFrame, most_voters: int, least_share: float = 0.9) -> np.ndarray:
-    """Hashes of features that occur in enough training rows and nearly only in toxic ones."""
-    n_toxic = train.filter("toxic = 1").count()
-    seeds = pa.array(SEED_WORDS)
-    seed_hashes = textops.words(seeds, lower=True, separators=textops.NON_LETTERS).hash
-    if not n_toxic:
-        return np.unique(seed_hashes)
-    support = int(np.clip(n_toxic // 40, 3, 12))
+def _seeds() -> np.ndarray:
+    return np.unique(textops.words(pa.array(SEED_WORDS), lower=True, separators=textops.NON_LETTERS).hash)
+
+
+@dataclass
+class Mined:
+    """Features (sorted hashes) and which way each votes: 1 for toxic, -1 against, 0 not at all."""
+
+    hashes: np.ndarray
+    vote: np.ndarray
+
+
+def mine(train: DataFrame, rows: int, toxic_rows: int, most_features: int, most_voters: int) -> Mined:
+    """The features most strongly associated with the marks, and the voters among them."""
+    support = int(np.clip(toxic_rows // 40, 3, 12))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,93 +107,135 @@ def mine(train: DataFrame, most_voters: int, least_share: float = 0.9) -> np.nda
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(bad), pa.array(np.diff(np.append(first, len(h))))], ["h", "bad", "n"])
 
     found = train.select("text", "toxic").mapInArrow(run, "h long, bad long, n long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    strong = found.filter((F.col("bad") >= support) & (F.col("bad") >= least_share * F.col("n"))).orderBy(F.desc("bad"), "h").limit(most_voters)
-    mined = np.array([r.h for r in strong.collect()], np.int64).view(np.uint64)
-    return np.unique(np.concatenate([mined, seed_hashes]))
-
-
-def label_model(fired: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    share = toxic_rows / rows
+    expected = F.col("n") * share
+    errors = (F.col("bad") - expected) / F.sqrt(expected * (1 - share) * (1 - F.col("n") / rows) + 1e-9)
+    strong = found.filter("n >= 3").withColumn("z", errors).filter(F.abs("z") >= ASSOCIATED).orderBy(F.desc(F.abs("z")), "h").limit(most_features).collect()
+    h = np.array([r.h for r in strong], np.int64).view(np.uint64)
+    bad, n, z = (np.array([r[c] for r in strong], np.float64) for c in ("bad", "n", "z"))
+    vote = np.zeros(len(h), np.int64)
+    vote[np.flatnonzero((bad >= support) & (bad >= PURE * n))[:most_voters]] = 1
+    vote[np.flatnonzero((z < 0) & (bad <= n * share / 2))[: most_voters // 4]] = -1
+    seeds = _seeds()
+    vote[np.isin(h, seeds)] = 1
+    more = seeds[~np.isin(seeds, h)]
+    h, vote = np.concatenate([h, more]), np.concatenate([vote, np.ones(len(more), np.int64)])
+    order = np.argsort(h)
+    return Mined(h[order], vote[order])
+
+
+def _shares(fired: np.ndarray, rates: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """One over the number of voters that each fires together with (correlation over 0.5) within a class."""
+    some = weight > 0.01
+    if not fired.shape[1] or not some.any():
+        return np.ones(fired.shape[1])
+    x, w = fired[some].astype(np.float32) - rates[None, :].astype(np.float32), weight[some].astype(np.float32)
+    cov = (x * w[:, None]).T @ x / w.sum()
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
+    return 1 / (np.abs(cov / np.outer(sd, sd)) > 0.5).sum(1).clip(1)
+
+
+def label_model(fired: np.ndarray, vote: np.ndarray, mark: np.ndarray | None = None, rounds: int = 30, every: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of each row, and each voter's share of a vote.
 
-    ``fired`` is rows x voters (boolean). EM estimates the rates at which each voter
-    fires by class; voters whose firings correlate over 0.5 within the toxic class share
-    a vote, so that several forms of one word don't count as independent witnesses.
+    ``fired`` is rows x voters (boolean), ``vote`` each voter's sign, ``mark`` the rows' own
+    marks. The rates at which voters fire by class are estimated in each round, their
+    dependence within the class that they speak for every few rounds, so that several forms
+    of one word don't count as independent witnesses. A voter that stays silent abstains.
     """
     n, m = fired.shape
-    x = fired.astype(np.float32)
-    p = np.where(fired.any(1), 0.9, 0.02)
+    x, up = fired.astype(np.float32), vote > 0
+    for_, against = fired[:, up].any(1), fired[:, ~up].any(1)
+    p = np.where(for_, 0.9, np.where(against, 0.01, 0.05))
+    p = p if mark is None else np.where(mark > 0, 0.95, p * 0.5)
     share = np.ones(m)
     for step in range(rounds):
-        a = (p @ x + 1) / (p.sum() + 2)
-        b = np.minimum((1 - p) @ x + 0.1, a * (n - p.sum())) / (n - p.sum() + 2)
-        if step == 2:
-            d = x - a[None, :].astype(np.float32)
-            cov = (d * p[:, None].astype(np.float32)).T @ d / p.sum()
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-            share = 1 / (np.abs(cov / np.outer(sd, sd)) > 0.5).sum(1).clip(1)
+        a, b = (p @ x + 0.5) / (p.sum() + 1), ((1 - p) @ x + 0.5) / (n - p.sum() + 1)
+        a, b = np.where(up, np.maximum(a, b), np.minimum(a, b)), np.where(up, np.minimum(a, b), np.maximum(a, b))
+        if step % every == 2:
+            share[up] = _shares(fired[:, up], a[up], p)
+            share[~up] = _shares(fired[:, ~up], b[~up], 1 - p)
         prior = np.clip(p.mean(), 1e-3, 0.5)
-        # A voter that stays silent abstains; rows without any vote lean on how often toxic rows have one.
-        silent = np.log(max(p[~fired.any(1)].sum() / max(p.sum(), 1e-9), 1e-3))
-        z = np.log(prior / (1 - prior)) + x @ (share * np.log(a / b)) + np.where(fired.any(1), 0, silent)
+        z = np.log(prior / (1 - prior)) + x @ (share * np.log(a / b)).astype(np.float32)
+        if mark is None:
+            # Rows without a vote for toxic lean on how often toxic rows have one.
+            z = z + np.where(for_, 0, np.log(max(p[~for_].sum() / max(p.sum(), 1e-9), 1e-3)))
+        else:
+            right, wrong = np.clip((p @ mark + 1) / (p.sum() + 2), 0.5, 0.999), np.clip(((1 - p) @ mark + 0.1) / (n - p.sum() + 1), 1e-3, 0.5)
+            z = z + np.where(mark > 0, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         done = np.abs(q - p).max() < 1e-6
         p = q
-        if done and step > 3:
+        if done and step > 2 * every:
             break
     return p, share
 
 
-def classifier(fired: np.ndarray, posterior: np.ndarray, rounds: int = 800, penalty: float = 1e-4) -> np.ndarray:
-    """Weights (bias last) of a logistic regression on posterior labels; equal rows are merged."""
-    _, where, back, n = np.unique(np.packbits(fired, axis=1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-    target = np.bincount(back.ravel(), weights=posterior) / n
-    x = np.hstack([fired[where].astype(np.float32), np.ones((len(where), 1), np.float32)])
-    toxic = target > 0.5
-    weight = n * np.where(toxic, n.sum() / max(2 * n[toxic].sum(), 1), 1.0)
-    weight = weight / weight.sum()
-    w = np.zeros(x.shape[1])
-    w[-1] = -2.0
-    moment, square = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, rounds + 1):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((q - target) * weight) + penalty * np.append(w[:-1], 0)
-        moment, square = 0.9 * moment + 0.1 * g, 0.99 * square + 0.01 * g * g
-        w -= 0.1 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    return w
+def classifier(row: np.ndarray, feature: np.ndarray, posterior: np.ndarray, n_features: int, rounds: int = 200, penalty: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on posterior labels, most weights 0; (row, feature) pairs occur."""
+    n = len(posterior)
+    toxic = posterior > 0.5
+    importance = np.where(toxic, n / max(2 * toxic.sum(), 1), 1.0)
+    importance /= importance.sum()
+    w, bias, squares, square = np.zeros(n_features), BIAS, np.full(n_features, 1e-12), 1e-12
+    for _ in range(rounds):
+        z = np.bincount(row, weights=w[feature], minlength=n) + bias
+        wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - posterior) * importance
+        slope = np.bincount(feature, weights=wrong[row], minlength=n_features)
+        squares += slope * slope
+        square += wrong.sum() ** 2
+        pace = 0.5 / np.sqrt(squares)
+        w -= pace * slope
+        w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
+        bias -= 0.5 / np.sqrt(square) * wrong.sum()
+    return w, bias
 
 
 @dataclass
 class Model:
-    voters: Voters
+    table: Table
     weights: np.ndarray
+    bias: float
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        doc, voter = self.voters.fired(texts)
-        z = np.bincount(doc, weights=self.weights[:-1][voter], minlength=len(texts)) + self.weights[-1]
+        doc, feature = self.table.fired(texts)
+        z = np.bincount(doc, weights=self.weights[feature], minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_voters: int = 512, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, most_features: int = 4096, most_voters: int = 512, folds: int = 5) -> Model:
     """Learn from label rows outside the held-out fold (crc32 of the id modulo ``folds`` is 0)."""
     usable = labels.filter("doc_id is not null and toxic is not null").filter(sample.bucket(F.col("doc_id"), folds) != 0)
     chosen = sample.bounded(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), most)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    voters = Voters(mine(train, most_voters))
-    shared = docs.sparkSession.sparkContext.broadcast(voters)
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    train = written(marked.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-train")
+    rows, toxic_rows = train.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
+    if not toxic_rows:
+        seeds = _seeds()
+        return Model(Table(seeds), np.full(len(seeds), SEED_WEIGHT), BIAS)
+    mined = mine(train, rows, toxic_rows, most_features, most_voters)
+    shared = docs.sparkSession.sparkContext.broadcast(Table(mined.hashes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.chunks(batch, "text"):
-                doc, voter = shared.value.fired(part.column(0))
-                edge = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edge, pa.array(voter.astype(np.int32)))], ["votes"])
-
-    votes = [r.votes for r in train.mapInArrow(run, "votes array<int>").collect()]  # at most about ``most`` rows
-    fired = np.zeros((max(1, len(votes)), len(voters.hashes)), bool)
-    for i, v in enumerate(votes):
-        fired[i, v] = True
-    posterior, _ = label_model(fired)
-    return Model(voters, classifier(fired, posterior))
+                doc, feature = shared.value.fired(part.column(0))
+                each = np.split(feature.astype(np.int16), np.searchsorted(doc, np.arange(1, part.num_rows)))
+                yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in each], pa.binary()), part.column(1)], ["features", "toxic"])
+
+    found = train.select("text", "toxic").mapInArrow(run, "features binary, toxic int").collect()  # at most about ``most`` rows, packed
+    lists = [np.frombuffer(r.features, np.int16) for r in found]
+    row, feature = np.repeat(np.arange(len(lists)), list(map(len, lists))), np.concatenate(lists).astype(np.int64)
+    voters = np.flatnonzero(mined.vote)
+    place = np.full(len(mined.hashes), -1)
+    place[voters] = np.arange(len(voters))
+    fired = np.zeros((len(lists), len(voters)), bool)
+    cast = place[feature] >= 0
+    fired[row[cast], place[feature[cast]]] = True
+    posterior, _ = label_model(fired, mined.vote[voters], np.array([float(r.toxic == 1) for r in found]))
+    weights, bias = classifier(row, feature, posterior, len(mined.hashes))
+    used = np.flatnonzero(weights)
+    return Model(Table(mined.hashes[used]), weights[used], bias)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5) -> DataFrame:
