@@ -71,12 +71,9 @@ def test_links_equal_brute_force(spark, monkeypatch, target, most):
     assert flatgraph.link(table.limit(0)).count() == 0
 
 
-def test_recall_on_provided_vectors(spark):
-    table = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
-    assert flatgraph.audit(table, flatgraph.link(table), every=10) >= 0.9
-
-
-def test_recall_on_planted_pairs_over_many_shards(spark):
+@pytest.mark.parametrize("overlap", [1, 3])
+def test_recall_on_planted_pairs_over_many_shards(spark, caplog, overlap):
+    caplog.set_level("INFO")
     rng = np.random.default_rng(31)
     n, dim, least = 1500, 24, 0.98
     x = rng.normal(0, 1, (n, dim))
@@ -88,12 +85,13 @@ def test_recall_on_planted_pairs_over_many_shards(spark):
     both = np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * off]).astype(np.float32).astype(np.float64)
     rows = [(i, v.tolist(), i % n % 2) for i, v in enumerate(both)]  # 1,500 a label, of which a shard holds some 400
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    links = {r.vec_id: r.n_links for r in flatgraph.link(table, least).collect()}
+    links = {r.vec_id: r.n_links for r in flatgraph.link(table, least, overlap).collect()}
     near = (both @ both.T >= least) & (np.arange(2 * n)[:, None] % n % 2 == np.arange(2 * n)[None] % n % 2)
     np.fill_diagonal(near, False)
     true = near.sum(1)
     assert n // 2 > flatgraph.TARGET and true.sum() >= 2 * n  # there are links to find, in labels of several shards
     assert sum(min(links[i], int(true[i])) for i in range(2 * n)) >= 0.97 * true.sum() and all(links[i] <= true[i] for i in range(2 * n))
+    assert sum("at overlap" in m for m in caplog.messages) >= (overlap == 1) + 1  # too small an overlap is noticed
 
 
 @pytest.mark.parametrize("n,shards,replicas,ranked", [(0, 3, 4, 10), (500, 7, 5, 10), (500, 7, 5, 100_000), (60, 40, 8, 5)])

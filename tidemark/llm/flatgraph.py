@@ -9,8 +9,10 @@ then searched for in each of its shards: a greedy beam search from the shard's m
 expanded through all neighbours within range until none is new. Pairs are verified by
 cosine in double precision. Each shard audits its recall on a sample of its queries
 against brute force, widens the beam where it falls short and then compares outright;
-shards too dense for the graph (over ``most`` classes, which clustering could not split)
-are compared outright in strips.
+shards too dense for the graph (over MOST classes, which clustering could not split)
+are compared outright in strips. Links between classes that share no shard are beyond that,
+so the whole result is audited too: some QUERIES classes against all others of their label,
+and everything is done again with twice the overlap while recall is under LEAST_AUDIT.
 
 A pair in several shards counts in the first of them. Vectors that are null, empty, zero or
 hold null or non-finite components, and rows without label or id, link with nothing. Repeated
@@ -20,6 +22,7 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import graph
+from tidemark.llm import graph, sample
 from tidemark.llm.scratch import written
 
 #: Sample for the centroids, classes aimed at in a shard before overlap, and most of a shard's graph.
 SAMPLE, TARGET, MOST = 20_000, 400, 6_000
+#: Classes that the whole result is audited with, the recall it must have, and how often it is done again.
+QUERIES, LEAST_AUDIT, AGAIN = 512, 0.98, 2
 DEGREE, CANDIDATES, SLACK, BEAM, LEAST_RECALL = 24, 64, 1.2, 32, 0.9995
 
 
@@ -298,6 +303,42 @@ def _assign(classes: DataFrame, centroids: dict, overlap: int) -> DataFrame:
     return rows.withColumn("cell", F.explode("cells")).withColumn("gid", F.xxhash64("label", "dim", "cell"))
 
 
+def _found(classes: DataFrame, centroids: dict, overlap: int, least: float) -> DataFrame:
+    """cid, links, root, recall of each class in each of its shards."""
+    members = written(_assign(classes, centroids, overlap), "flat-members")
+    dealt = lambda df: df.repartition("gid").sortWithinPartitions("gid", "cid")
+    lists = dealt(members.select("gid", "cid", "dim", "embedding")).mapInArrow(_grouped(_build), "cid long, list binary")
+    united = lists.groupBy("cid").agg(F.collect_list("list").alias("lists"))  # at most ``overlap`` short lists
+    ready = members.select("gid", "cid", "dim", "copies", "cell", "cells", "embedding").join(united, "cid").select("gid", "cid", "dim", "copies", "cell", "cells", "lists", "embedding")
+    return dealt(ready).mapInArrow(_grouped(_search(least)), "cid long, links long, root long, recall double")
+
+
+def recall(classes: DataFrame, found: DataFrame, least: float) -> float:
+    """The share of the links of at most about QUERIES classes that was found, by brute force against all classes."""
+    asked = sample.bounded(classes.select("cid", "label", "dim", "embedding"), QUERIES, "cid").collect()
+    by_kind: dict[tuple[int, int], list] = {}
+    for q in asked:
+        by_kind.setdefault((q.label, q.dim), []).append(q)
+    unit = {k: (np.array([q.cid for q in v]), np.array([q.embedding for q in v], np.float64)) for k, v in by_kind.items()}
+    shared = classes.sparkSession.sparkContext.broadcast({k: (c, x / np.linalg.norm(x, axis=1, keepdims=True)) for k, (c, x) in unit.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label, dim, copies = (np.array(batch.column(k)) for k in (1, 2, 3))
+            for (a, b), (cid, q) in shared.value.items():
+                at = np.flatnonzero((label == a) & (dim == b))
+                if len(at):
+                    near = _vectors(batch.column(4).take(pa.array(at)), b) @ q.T >= least
+                    near &= np.array(batch.column(0))[at][:, None] != cid[None]
+                    n = copies[at] @ near
+                    yield pa.RecordBatch.from_arrays([pa.array(cid[n > 0]), pa.array(n[n > 0])], ["cid", "n"])
+
+    near = classes.select("cid", "label", "dim", "copies", "embedding").mapInArrow(run, "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    both = near.join(links, "cid").agg(F.sum(F.least("n", "links")).alias("got"), F.sum("n").alias("all")).first()
+    return both["got"] / both["all"] if both["all"] else 1.0
+
+
 def link(vectors: DataFrame, least: float = 0.98, overlap: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", "embedding", "label")
@@ -306,12 +347,13 @@ def link(vectors: DataFrame, least: float = 0.98, overlap: int = 3) -> DataFrame
     good = rows.filter("ok").withColumns({"dim": F.size("embedding"), "cid": F.xxhash64("label", "embedding")})
     classes = good.groupBy("label", "dim", "embedding", "cid").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "flat-classes")
-    members = written(_assign(classes, _centroids(classes), overlap), "flat-members")
-    dealt = lambda df: df.repartition("gid").sortWithinPartitions("gid", "cid")
-    lists = dealt(members.select("gid", "cid", "dim", "embedding")).mapInArrow(_grouped(_build), "cid long, list binary")
-    united = lists.groupBy("cid").agg(F.collect_list("list").alias("lists"))  # at most ``overlap`` short lists
-    ready = members.select("gid", "cid", "dim", "copies", "cell", "cells", "embedding").join(united, "cid").select("gid", "cid", "dim", "copies", "cell", "cells", "lists", "embedding")
-    found = written(dealt(ready).mapInArrow(_grouped(_search(least)), "cid long, links long, root long, recall double"), "flat-links")
+    centroids, found = _centroids(classes), None
+    for again in range(AGAIN + 1):
+        found = written(_found(classes, centroids, overlap << again, least), "flat-links")
+        got = recall(classes, found, least) if centroids else 1.0  # without several shards a label there is nothing between them
+        logging.getLogger(__name__).info("recall %.4f at overlap %d", got, overlap << again)
+        if got >= LEAST_AUDIT:
+            break
     comp = graph.components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     placed = classes.select("cid", "rep", "copies").join(comp.select(F.col("node").alias("cid"), "component"), "cid").join(links, "cid")
@@ -321,17 +363,3 @@ def link(vectors: DataFrame, least: float = 0.98, overlap: int = 3) -> DataFrame
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
-
-def audit(vectors: DataFrame, found: DataFrame, least: float = 0.98, every: int = 100) -> float:
-    """Recall of ``found`` (from `link`) on links of rows whose id is a multiple of ``every``, by brute force.
-
-    Links are compared by number, per query; queries are broadcast in one block.
-    """
-    unit = F.expr("transform(embedding, v -> cast(v as double) / sqrt(aggregate(embedding, cast(0 as double), (s, u) -> s + cast(u as double) * u)))")
-    rows = vectors.filter("label is not null and embedding is not null").select("vec_id", "label", unit.alias("u"))
-    queries = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), "label", F.col("u").alias("w"))
-    near = rows.join(F.broadcast(queries), "label").filter(F.col("vec_id") != F.col("q"))
-    near = near.filter(F.expr("aggregate(zip_with(u, w, (a, b) -> a * b), cast(0 as double), (s, v) -> s + v)") >= least)
-    truth = near.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-    both = truth.join(found.select(F.col("vec_id").alias("q"), "n_links"), "q").agg(F.sum(F.least("n", "n_links")).alias("got"), F.sum("n").alias("all")).first()
-    return 1.0 if not both["all"] else both["got"] / both["all"]
