@@ -68,3 +68,22 @@ def test_conversations(spark, codec):
     control = max(codec.bytes_of) + 1
     ids = next(r.ids for r in formatted.collect() if r.conv_id == -1)
     assert sum(i >= control for i in ids) == 6
+
+
+def test_long_unbroken_texts_are_not_remembered(codec, known):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (10, 48, 49, 5000, 20_000))
+    codec.memo.clear()
+    assert codec.encode(text) == known.encode_ordinary(text)
+    assert codec.memo and all(len(w) <= bpe.REMEMBERED for w in codec.memo)
+
+
+def test_empty_and_long_conversations(spark, codec):
+    schema = "conv_id long, turn long, role string, text string"
+    empty = chat.read_back(chat.format_conversations(chat.with_probe(spark.createDataFrame([], schema)), codec), codec).collect()
+    assert [r.conv_id for r in empty] == [-1]
+    rows = [(7, i, "assistant" if i % 2 else "user", f"turn {i} [INST] " + "long " * 300) for i in range(400)]
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(spark.createDataFrame(rows, schema), codec), codec).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got[7].n_turns == 400 and got[7].turns_sha256 == sha("".join(f"{r}\n{t}\n" for _, _, r, t in rows))
+    assert got[7].loss_sha256 == sha("".join(t for _, _, r, t in rows if r == "assistant"))

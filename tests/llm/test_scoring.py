@@ -216,6 +216,48 @@ def test_resampling(spark, docs):
     assert importance.resample(docs([]), target, 0.5).count() == 0
 
 
+def test_resampling_equals_plain_version(spark, docs):
+    """Counts, ratios, weights and the sample, from words and pairs one by one."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import textops
+
+    rng = np.random.default_rng(6)
+    buckets, seed, fraction = 64, 7, 0.3
+    rows = [(int(i % 70) if i % 11 else None, None if i % 17 == 0 else " ".join(rng.choice(["Red", "green", "blue", "x", "y z"], int(rng.integers(0, 12))))) for i in range(150)]
+    target = {i for i in range(0, 70, 3)}
+    h = {w: int(textops.words(pa.array([w]), lower=True).hash[0]) for w in ("red", "green", "blue", "x", "y", "z")}
+    pair = lambda a, b: int(textops.windows(np.array([h[a], h[b]], np.uint64), np.array([0]), 2)[0]) % buckets
+
+    def grams(text):
+        w = [x.decode() for x in words(text)]
+        return [h[x] % buckets for x in w] + [pair(a, b) for a, b in zip(w, w[1:])]
+
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in target:
+            good.update(grams(t))
+    ratio = [math.log((good[b] + 1) / (sum(good.values()) + buckets)) - math.log((raw[b] + 1) / (sum(raw.values()) + buckets)) for b in range(buckets)]
+    weight = [sum((ratio[g] for g in grams(t)), 0.0) for _, t in rows]
+    uniform = [r.u for r in docs(rows).select(((F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()]
+    key = [math.floor((w - math.log(-math.log(u))) * 2**20) for w, u in zip(weight, uniform)]
+    border = sorted(key, reverse=True)[round(fraction * len(rows)) - 1]
+    want = sorted(repr((i, round(w, 6))) for (i, _), w, k in zip(rows, weight, key) if k >= border)
+    labels = spark.createDataFrame([(i,) for i in target], "doc_id long")
+    got = importance.resample(docs(rows, target="t", key=1), labels, fraction, buckets=buckets, seed=seed).collect()
+    assert sorted(repr((r.doc_id, round(r.log_weight, 6))) for r in got) == want and len(want) >= 45
+
+
+def test_language_model_on_odd_texts(docs):
+    rows = [(i, t) for i, t in enumerate(["a b c", None, "", "w " * 60_000, "u" * 200_000, "\n\t "] * 4)] + [(None, "a b"), (3, "w " * 60_000)]
+    got = gru.score(docs(rows, tid=1, kind="k"), words=50, classes=4).collect()
+    assert len(got) == len(rows) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+    want = Counter((i, len(words(t)) + 1) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == want
+    assert gru.score(docs([])).count() == 0
+
+
 @pytest.mark.parametrize("k", [1, 7, 30, 99, 500])
 def test_top_k_by_radix(spark, k):
     rng = np.random.default_rng(k)

@@ -475,9 +475,10 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     stays = least & (F.col("tid") == F.col("best"))
     marks = judged.groupBy("doc_id", "tid").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("copies")).filter("not stays or copies > 1")
     marks = written(marks.select(F.col("doc_id").alias("__id"), F.col("tid").alias("__mark"), F.col("stays").alias("__stays")), "setjoin-marks")
-    keyed = idfilter.flagged(docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit("")))), marks.select(F.col("__mark").alias("tid")), "__text")
-    names = docs.columns
+    # Inside, a document is one column, so that its own columns may have any names.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__text"))
+    keyed = idfilter.flagged(rows, marks.select(F.col("__mark").alias("tid")), "__text")
     away = keyed.filter("__cand").join(marks, F.col("__text").eqNullSafe(F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    away = written(away.filter("__stays is null or __stays").select(*names, "__stays", "__mark"), "setjoin-maybe")
-    once = away.filter("__stays").dropDuplicates(["doc_id", "__mark"]).select(*names)
-    return keyed.filter("not __cand").select(*names).unionByName(away.filter("__stays is null").select(*names)).unionByName(once)
+    away = written(away.filter("__stays is null or __stays").select("__row", "doc_id", "__stays", "__mark"), "setjoin-maybe")
+    once = away.filter("__stays").dropDuplicates(["doc_id", "__mark"]).select("__row")
+    return keyed.filter("not __cand").select("__row").unionByName(away.filter("__stays is null").select("__row")).unionByName(once).select("__row.*")

@@ -366,7 +366,10 @@ def digests(docs: DataFrame, length: int = 35, bytes_each: int = 4 << 20) -> Dat
 
 def remove(docs: DataFrame, length: int = 35, bytes_each: int = 4 << 20) -> DataFrame:
     """The documents with repeated passages cut out of their text; others stay as they are."""
-    same, chosen, cuts = _search(docs, length, bytes_each)
+    # Inside, a document is one column, so that its own columns may have any names.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), "text")
+    same, chosen, cuts = _search(rows, length, bytes_each)
     found = cuts.select(F.col("tid").alias("__tid"), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
-    changed = chosen.join(found, "__tid").withColumn("text", F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("text")))
-    return same.select(*docs.columns).unionByName(changed.select(*docs.columns))
+    text = F.when(F.col("__removed") > 0, F.col("__kept")).otherwise(F.col("__row")["text"])
+    changed = chosen.select("__tid", "__row").join(found, "__tid").select(F.col("__row").withField("text", text).alias("__row"))
+    return same.select("__row").unionByName(changed).select("__row.*")

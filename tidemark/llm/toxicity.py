@@ -40,8 +40,9 @@ SEED_WORDS = ("clown", "disgusting", "dumb", "idiot", "idiotic", "imbecile", "lo
 PREFIXES = (4, 5, 6)
 #: Share of toxic rows from which a feature votes for toxic; standard errors from which one counts as associated.
 PURE, ASSOCIATED = 0.9, 2.6
-#: Weight of a seed word where there is nothing to learn from, and the bias.
-SEED_WEIGHT, BIAS = 4.0, -2.0
+#: Weight of a seed word where there is nothing to learn from, the bias to begin with, and the largest one:
+#: a text without any feature is never taken for toxic, however few rows there are to learn from.
+SEED_WEIGHT, BIAS, MOST_BIAS = 4.0, -2.0, -1.0
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -187,7 +188,7 @@ def classifier(row: np.ndarray, feature: np.ndarray, posterior: np.ndarray, n_fe
         pace = 0.5 / np.sqrt(squares)
         w -= pace * slope
         w = np.sign(w) * np.maximum(np.abs(w) - pace * penalty, 0)
-        bias -= 0.5 / np.sqrt(square) * wrong.sum()
+        bias = min(bias - 0.5 / np.sqrt(square) * wrong.sum(), MOST_BIAS)
     return w, bias
 
 
