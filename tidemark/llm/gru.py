@@ -48,17 +48,22 @@ ROWS = 8192
 LEARN, STREAMS, BLOCK = 1 << 20, 512, 1600
 
 
-def tokens(texts: pa.Array, endings: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of each document with its end, their ending buckets (0 if not asked for), and document bounds."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, textops.Words]:
+    """Token hashes of each document with its end, document bounds, and the words."""
     w = textops.words(texts, lower=True)
-    n = w.counts
-    bounds = np.concatenate([[0], np.cumsum(n + 1)])
+    bounds = np.concatenate([[0], np.cumsum(w.counts + 1)])
+    h = np.full(bounds[-1], END)
+    h[np.arange(len(w.hash)) + w.doc] = w.hash
+    return h, bounds, w
+
+
+def endings(w: textops.Words, word: np.ndarray | None = None) -> np.ndarray:
+    """Ending buckets of tokens: of all words, or of those that ``word`` (by token) doesn't know; else 0."""
     place = np.arange(len(w.hash)) + w.doc
-    h, tail = np.full(bounds[-1], END), np.zeros(bounds[-1], np.int64)
-    h[place] = w.hash
-    if endings:
-        tail[place] = (textops.endings(w, 2) % U(ENDINGS)).astype(np.int64)
-    return h, tail, bounds
+    at = np.arange(len(place)) if word is None else np.flatnonzero(word[place] < 0)
+    out = np.zeros(len(place) + len(w.bounds) - 1, np.uint8)
+    out[place[at]] = textops.endings(w, at, 2) % U(ENDINGS)
+    return out
 
 
 class Lookup:
@@ -358,9 +363,9 @@ def _fit_rows(docs: DataFrame, most_docs: int) -> tuple[np.ndarray, np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in textops.chunks(batch, "text"):
-                h, tail, bounds = tokens(part.column(0))
-                cut = list(zip(bounds[:-1], bounds[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array([h[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([tail[a:b].astype(np.uint8).tobytes() for a, b in cut], pa.binary())], ["h", "tail"])
+                h, bounds, w = tokens(part.column(0))
+                tail, cut = endings(w), list(zip(bounds[:-1], bounds[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array([h[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([tail[a:b].tobytes() for a, b in cut], pa.binary())], ["h", "tail"])
 
     rows = chosen.select("text").mapInArrow(run, "h binary, tail binary").collect()
     rows.sort(key=lambda r: bytes(r.h))
@@ -395,7 +400,7 @@ def count(docs: DataFrame, head: np.ndarray, parts: int, words: int) -> DataFram
             one = batch.take(pa.array(where))
             at = 0
             for part in textops.chunks(one, "text"):
-                h, _, bounds = tokens(part.column(2), endings=False)
+                h, bounds, _ = tokens(part.column(2))
                 doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 times = copies[at : at + part.num_rows]
                 k = known(h)
@@ -440,7 +445,7 @@ def _rows(kind: int, key, a, b, c) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "key", "a", "b", "c"])
 
 
-def score(docs: DataFrame, folds: int = 10, head_words: int = 1 << 16, words: int = 4096, classes: int = 64, hidden: int = 24, most_docs: int = 1500, bytes_each: int = 4 << 20, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, head_words: int = 1 << 16, words: int = 4096, classes: int = 40, hidden: int = 24, most_docs: int = 1500, bytes_each: int = 4 << 20, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     parts = parts_for(docs, bytes_each)
     held = F.coalesce(sample.bucket(F.col("doc_id"), folds) == 0, F.lit(False))
@@ -492,8 +497,9 @@ def _averaged(docs: DataFrame, model: Model, rate: float) -> dict[str, np.ndarra
 
         for batch in batches:
             for part in textops.chunks(batch, "text"):
-                h, tail, bounds = tokens(part.column(0))
-                held.append((model.vocab.find(h).astype(np.int32), tail.astype(np.uint8), np.diff(bounds)))
+                h, bounds, w = tokens(part.column(0))
+                word = model.vocab.find(h).astype(np.int32)
+                held.append((word, endings(w, word), np.diff(bounds)))
                 if sum(len(x[0]) for x in held) >= LEARN:
                     total += learn()
         total += learn() if held else 0
@@ -536,9 +542,9 @@ def _score_rows(docs: DataFrame, stats: Statistics, model: Model) -> DataFrame:
             for group in textops.chunks(batch, "text", 12 << 20):
                 got, at = [], 0
                 for part in textops.chunks(group, "text"):
-                    h, tail, bounds = tokens(part.column(3))
-                    k = known(h)
-                    got.append((k, model.vocab.find(h).astype(np.int32), tail.astype(np.uint8), bounds[1:] + at))
+                    h, bounds, w = tokens(part.column(3))
+                    word = model.vocab.find(h).astype(np.int32)
+                    got.append((known(h), word, endings(w, word), bounds[1:] + at))
                     at += bounds[-1]
                 k, word, tail = (np.concatenate([g[i] for g in got]) for i in range(3))
                 bounds = np.concatenate([[0], *(g[3] for g in got)])

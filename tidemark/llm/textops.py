@@ -144,12 +144,12 @@ def words(texts: pa.Array, lower: bool = False, separators: np.ndarray = SPACES)
     return Words(buf, start, end, h, np.searchsorted(start, offsets), sums)
 
 
-def endings(w: Words, n: int) -> np.ndarray:
-    """Hashes of the last ``n`` bytes of each word (of the whole word, if it is shorter)."""
-    total = np.zeros(len(w.start), U)
+def endings(w: Words, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the last ``n`` bytes of the words ``at`` (of the whole word, if it is shorter)."""
+    start, end, total = w.start[at], w.end[at], np.zeros(len(at), U)
     for k in range(n):
-        at = np.flatnonzero(w.end - w.start > k)
-        total[at] += _NUMBERS[k * 256 + w.buf[w.end[at] - 1 - k].astype(np.int64)]
+        some = np.flatnonzero(end - start > k)
+        total[some] += _NUMBERS[k * 256 + w.buf[end[some] - 1 - k].astype(np.int64)]
     return mix(total)
 
 
