@@ -20,13 +20,32 @@ def _rows():
     return rows + [(501, None), (502, ""), (503, " \n"), (504, rows[3][1].upper()), (7, rows[7][1])]
 
 
-@pytest.mark.parametrize("shingle,num,den", [(1, 8, 10), (3, 90, 100)])
-def test_equals_brute_force(docs, shingle, num, den):
+@pytest.mark.parametrize("shingle,num,den,side", [(1, 8, 10, 2048), (3, 90, 100, 2048), (1, 8, 10, 2)])
+def test_equals_brute_force(docs, monkeypatch, shingle, num, den, side):
+    monkeypatch.setattr(setjoin, "SIDE", side)
     rows = _rows()
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in setjoin.link(docs(rows, tid="x", n=1, cand=2), shingle, setjoin.Share(num, den)).collect())
     assert got == jaccard_groups(rows, shingle, num, den)
 
 
+def test_cells_of_large_buckets(spark, monkeypatch):
+    """All pairs of two components of a bucket meet; those of one large component's pieces don't."""
+    monkeypatch.setattr(setjoin, "SIDE", 20)
+    members = [(1, i, 1 if i < 400 else i if i < 430 else 500) for i in range(480)] + [(2, i, i % 2) for i in range(15)] + [(3, i, i) for i in range(60)]
+    total = {b: sum(m[0] == b for m in members) for b in (1, 2, 3)}
+    opened = spark.createDataFrame([(*m, total[m[0]]) for m in members], "bucket long, h1 long, component long, total long")
+    cells = {}
+    for r in setjoin._cells(opened).collect():
+        cells.setdefault(r.cell, ([], []))[r.side].append((r.h1, r.component))
+    met = set()
+    for one, other in cells.values():
+        met |= {frozenset((x[0], y[0])) for x in one for y in other or one if x[1] != y[1]}
+        assert not other or len({x[1] for x in one + other}) > 1
+    assert met == {frozenset((x[1], y[1])) for x in members for y in members if x[0] == y[0] and x[2] != y[2]}
+    assert max(len(one) + len(other) for one, other in cells.values()) <= 4 * 20
+    assert sum(len(one) + len(other) for one, other in cells.values()) <= 12 * len(members)
+
+
 def test_value_one_segments_lose_nothing(docs, monkeypatch):
     """Whatever the allocation, as long as values add up."""
     real = setjoin.plan

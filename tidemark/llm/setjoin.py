@@ -16,7 +16,7 @@ Sets that share an index entry are a bucket. Buckets are merged in rounds, so th
 group of near copies is never expanded into all its pairs: first every member is compared
 with the nearest of the least members of its buckets; then, in buckets that still hold
 several components, with its nearest member of another component; and at last all pairs
-across the components that are left. Nearness is that of parity sketches, whose difference
+across the components that are left. The last two cut large buckets in pieces. Nearness is that of parity sketches, whose difference
 bounds the sets' difference from below; they grow with the set. Pairs that a sketch allows
 are verified on the texts, dealt by the end with more pairs, in blocks.
 
@@ -55,6 +55,8 @@ FIRST_ROUND = 4
 PIECE = 1 << 16
 #: Words of sketches that are compared at once.
 STRIP = 1 << 21
+#: Members of a piece of a large bucket, of which two are compared in a task.
+SIDE = 1 << 11
 
 
 @dataclass(frozen=True)
@@ -363,59 +365,89 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
 
 
 def _open(members: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The members (bucket, h1, component, n, sketch) of the buckets that still hold several components."""
-    known = nodes.join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
-    placed = members.select("bucket", "h1").join(known.select("h1", "component"), "h1")
-    several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    return placed.join(written(several.select("bucket"), "setjoin-open"), "bucket", "left_semi").join(nodes.select("h1", "n", "sketch"), "h1")
+    """The members (bucket, h1, component, total) of the buckets that still hold several components; total counts a bucket's members."""
+    known = nodes.select("h1").join(comp.select(F.col("node").alias("h1"), "component"), "h1", "left").withColumn("component", F.coalesce("component", "h1"))
+    placed = members.select("bucket", "h1").join(known, "h1")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("total")).filter("x <> y")
+    return written(placed.join(several.select("bucket", "total"), "bucket"), "setjoin-open")
 
 
-def _across(members: DataFrame, parts: int, share: Share, nearest: bool) -> DataFrame:
-    """Pairs (a, b, apart) across components within each bucket whose sketches allow the similarity.
+def _cells(opened: DataFrame) -> DataFrame:
+    """(cell, side, h1, component): who is compared with whom, so that no cell has many more than 2 * SIDE members.
 
-    All of them, a before b, or for each member b the ``nearest`` a. ``members`` has bucket, h1,
-    component, n, sketch; a bucket is compared in strips, so memory follows its members and
-    not their pairs.
+    A bucket of up to SIDE members is a cell of its own, all on side 0. Larger ones are cut in
+    pieces: a component of more than SIDE members by its members, the others by component. Two
+    pieces make a cell, one on either side, and a piece of several components one with
+    itself; pieces of one component needn't meet. So a large group with a few strangers costs
+    a copy of the strangers for each piece of the group.
+    """
+    small = opened.filter(F.col("total") <= SIDE).select(F.col("bucket").alias("cell"), F.lit(0).alias("side"), "h1", "component")
+    large = opened.filter(F.col("total") > SIDE)
+    held = large.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("held"))
+    rest = held.groupBy("bucket").agg(F.sum(F.when(F.col("held") <= SIDE, F.col("held")).otherwise(0)).alias("rest"))
+    big = F.col("held") > SIDE
+    slots = F.ceil(F.greatest(F.when(big, F.col("held")).otherwise(F.col("rest")), F.lit(1)) / SIDE)
+    slot = F.pmod(F.xxhash64(F.when(big, F.col("h1")).otherwise(F.col("component"))), slots)
+    group = F.when(big, F.col("component")).otherwise(0)
+    cut = large.join(held.join(rest, "bucket"), ["bucket", "component"])
+    cut = written(cut.select("bucket", "h1", "component", F.struct(big.alias("big"), group.alias("group"), slot.alias("slot")).alias("piece")), "setjoin-pieces")
+    pieces = cut.select("bucket", "piece").distinct()
+    p, q = (pieces.select("bucket", F.col("piece").alias(x)) for x in "pq")
+    meet = p.join(q, "bucket").filter("p <= q and not (p.big and q.big and p.group = q.group)")
+    meet = meet.select("bucket", "p", "q", F.xxhash64("bucket", "p", "q").alias("cell"))
+    first = meet.select("bucket", F.col("p").alias("piece"), "cell", F.lit(0).alias("side"))
+    second = meet.filter("p <> q").select("bucket", F.col("q").alias("piece"), "cell", F.lit(1).alias("side"))
+    return small.unionByName(cut.join(first.unionByName(second), ["bucket", "piece"]).select("cell", "side", "h1", "component"))
+
+
+def _across(cells: DataFrame, nodes: DataFrame, parts: int, share: Share, nearest: bool) -> DataFrame:
+    """Pairs (a, b, apart) across components within each cell whose sketches allow the similarity.
+
+    All of them, a before b, or for each member b the ``nearest`` a. A cell is compared in
+    strips, so memory follows its members and not their pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            bucket = np.array(batch.column(0))
-            cut = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            cell = np.array(batch.column(0))
+            cut = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             for lo, hi in zip(cut[:-1], cut[1:]):
                 if hi > lo:
-                    if bucket[lo] != now:
+                    if cell[lo] != now:
                         yield from compare(held)
-                        now, held = bucket[lo], []
+                        now, held = cell[lo], []
                     held.append(batch.slice(lo, hi - lo))
         yield from compare(held)
 
     def compare(held) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        who, comp, n = (np.concatenate([np.array(b.column(k)) for b in held]) for k in (1, 2, 3))
-        sketch = [x for b in held for x in b.column(4).to_pylist()]
+        side, who, comp, n = (np.concatenate([np.array(b.column(k)) for b in held]) for k in (1, 2, 3, 4))
+        sketch = [x for b in held for x in b.column(5).to_pylist()]
         size = min(map(len, sketch))
         bits = np.frombuffer(b"".join([folded(x, size) for x in sketch]), np.uint64).reshape(len(who), -1)
-        step = max(1, STRIP // bits.size)
-        for lo in range(0, len(who), step):
-            rows, cols = slice(lo, lo + step), slice(0 if nearest else lo, None)
-            far = np.bitwise_count(bits[rows, None, :] ^ bits[None, cols, :]).sum(2, dtype=np.int32)
-            x, y = n[rows, None], n[None, cols]
-            ok = (comp[rows, None] != comp[None, cols]) & (far <= share.most_difference(x + y)) & (np.minimum(x, y) * share.den >= np.maximum(x, y) * share.num)
-            if nearest:
-                j = np.where(ok, far, np.iinfo(np.int32).max).argmin(1)
-                i = np.flatnonzero(ok[np.arange(len(ok)), j])
-                a, b, d = who[j[i]], who[lo + i], far[i, j[i]]
-            else:
-                i, j = np.nonzero(ok)
-                a, b, d = np.minimum(who[lo + i], who[lo + j]), np.maximum(who[lo + i], who[lo + j]), far[i, j]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int64))], ["a", "b", "apart"])
-
-    dealt = members.repartition(parts, "bucket").sortWithinPartitions("bucket", "h1")
-    return dealt.select("bucket", "h1", "component", "n", "sketch").mapInArrow(run, "a long, b long, apart long")
+        one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        meetings = [(one, other), (other, one)][: 1 + nearest] if len(other) else [(one, one)]
+        for rows, cols in meetings:
+            step = max(1, STRIP // (len(cols) * bits.shape[1]))
+            for lo in range(0, len(rows), step):
+                r = rows[lo : lo + step]
+                far = np.bitwise_count(bits[r, None, :] ^ bits[None, cols, :]).sum(2, dtype=np.int32)
+                x, y = n[r, None], n[None, cols]
+                ok = (comp[r, None] != comp[None, cols]) & (far <= share.most_difference(x + y)) & (np.minimum(x, y) * share.den >= np.maximum(x, y) * share.num)
+                if nearest:
+                    j = np.where(ok, far, np.iinfo(np.int32).max).argmin(1)
+                    i = np.flatnonzero(ok[np.arange(len(ok)), j])
+                    a, b, d = who[cols[j[i]]], who[r[i]], far[i, j[i]]
+                else:
+                    i, j = np.nonzero(ok)
+                    a, b, d = np.minimum(who[r[i]], who[cols[j]]), np.maximum(who[r[i]], who[cols[j]]), far[i, j]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d.astype(np.int64))], ["a", "b", "apart"])
+
+    dealt = cells.join(nodes.select("h1", "n", "sketch"), "h1").repartition(parts, "cell").sortWithinPartitions("cell", "h1")
+    return dealt.select("cell", "side", "h1", "component", "n", "sketch").mapInArrow(run, "a long, b long, apart long")
 
 
 def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_each: int = 2 << 20) -> DataFrame:
@@ -441,7 +473,7 @@ def link(docs: DataFrame, shingle: int = 5, share: Share = Share(4, 5), bytes_ea
     tried = written(_nearest(_likely(hubs, nodes, share)), "setjoin-pairs")
     comp = written(graph.components(check(tried)), "setjoin-components")
     for nearest in (True, False):
-        pairs = _across(_open(members, comp, nodes), parts, share, nearest)
+        pairs = _across(_cells(_open(members, comp, nodes)), nodes, parts, share, nearest)
         # A pair that was tried and failed isn't tried again.
         pairs = (_nearest(pairs) if nearest else pairs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
