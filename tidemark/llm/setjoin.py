@@ -429,13 +429,16 @@ def _across(cells: DataFrame, nodes: DataFrame, parts: int, share: Share, neares
         bits = np.frombuffer(b"".join([folded(x, size) for x in sketch]), np.uint64).reshape(len(who), -1)
         one, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         meetings = [(one, other), (other, one)][: 1 + nearest] if len(other) else [(one, one)]
-        for rows, cols in meetings:
-            step = max(1, STRIP // (len(cols) * bits.shape[1]))
+        half = not nearest and not len(other)  # each pair once, not in both orders
+        for rows, all_cols in meetings:
+            step = max(1, STRIP // (len(all_cols) * bits.shape[1]))
             for lo in range(0, len(rows), step):
-                r = rows[lo : lo + step]
+                r, cols = rows[lo : lo + step], all_cols[lo if half else 0 :]
                 far = np.bitwise_count(bits[r, None, :] ^ bits[None, cols, :]).sum(2, dtype=np.int32)
                 x, y = n[r, None], n[None, cols]
                 ok = (comp[r, None] != comp[None, cols]) & (far <= share.most_difference(x + y)) & (np.minimum(x, y) * share.den >= np.maximum(x, y) * share.num)
+                if half:
+                    ok &= np.arange(len(r))[:, None] < np.arange(len(cols))
                 if nearest:
                     j = np.where(ok, far, np.iinfo(np.int32).max).argmin(1)
                     i = np.flatnonzero(ok[np.arange(len(ok)), j])
