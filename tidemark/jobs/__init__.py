@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -37,16 +38,16 @@ def rebuild(store: Store, entities: Iterable[Entity] = tuple(CURATED), clock: Co
     create_tables(store, ["silver"])
     written = {}
     for e in entities:
-        raw = streams.raw_table(store, e)
-        classified = events.classify(raw, e).persist()
+        raw, passing = streams.raw_table(store, e), f"_judged_{e.name}_{uuid.uuid4().hex}"
         try:
-            made = events.from_classified(classified, e, clock)
+            store.overwrite(passing, events.judge(raw, e))
+            made = events.from_judged(store.read(passing), streams.stored_table(store, e), e, clock)
             wrong = made.quarantine.unionByName(events.invalid(raw, e, clock)) if invalid else made.quarantine
             store.overwrite(e.current_table, made.current)
             store.overwrite(e.history_table, made.history, ["processing_date"])
             store.replace_where(QUARANTINE_TABLE, wrong, "entity", e.name)
         finally:
-            classified.unpersist()
+            store.drop(passing)
         of_entity = store.read(QUARANTINE_TABLE).filter(F.col("entity") == e.name)
         written[e.name] = {"current": store.read(e.current_table).count(), "history": store.read(e.history_table).count(), "quarantine": of_entity.count()}
     return written
